@@ -139,14 +139,16 @@ def product_affinity(
     that reaches the threshold must also occur outside any given ``min_co - 1``
     orders, so that many of the largest baskets are set aside: they create no
     pairs, and each pair found elsewhere looks up how many of them hold both
-    products. Large baskets beyond those are joined in slices of about
-    ``large_basket`` products, each a task of its own. All of this is exact.
+    products. A basket of more than ``large_basket`` products beyond those is
+    joined in slices of about that many, so that its pairs spread over tasks.
+    All of this is exact.
     """
-    lines = items.where(F.col("order_id").isNotNull() & F.col("product_id").isNotNull()).select(
-        "order_id", "product_id"
-    )
     order_total = items.agg(F.count_distinct("order_id").alias("n")).select("n").scalar()
-    held = lines.distinct()
+    held = (
+        items.where(F.col("order_id").isNotNull() & F.col("product_id").isNotNull())
+        .select("order_id", "product_id")
+        .distinct()
+    )
     active = products.where(F.col("status") == "ACTIVE").select(F.col("id").alias("product_id"), "name")
     frequent = (
         held.groupBy("product_id")
@@ -154,51 +156,42 @@ def product_affinity(
         .where(F.col("order_count") >= min_co)
         .join(active, "product_id")
     )
-    baskets = held.join(frequent.select("product_id"), "product_id", "left_semi")
+    # Inner joins on unique keys: a semi join would be moved below the distinct
+    # and keep both uses of it from sharing one shuffle.
+    baskets = held.join(frequent.select("product_id"), "product_id").select("order_id", "product_id")
 
     sizes = baskets.groupBy("order_id").agg(F.count("product_id").alias("size"))
-    large = sizes.where(F.col("size") > large_basket)
-    aside = bounded(large.orderBy(F.col("size").desc(), "order_id").limit(min_co - 1), min_co - 1)
-
-    small_orders = sizes.where(F.col("size").between(2, large_basket)).select("order_id")
-    small = baskets.join(small_orders, "order_id", "left_semi")
-    small_pairs = (
-        small.alias("a")
-        .join(
-            small.alias("b"),
-            (F.col("a.order_id") == F.col("b.order_id")) & (F.col("a.product_id") < F.col("b.product_id")),
-        )
-        .select(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b"))
+    aside = bounded(
+        sizes.where(F.col("size") > large_basket)
+        .orderBy(F.col("size").desc(), "order_id")
+        .limit(min_co - 1)
+        .select("order_id"),
+        min_co - 1,
     )
+    aside_total = aside.agg(F.count("order_id").alias("n")).select("n").scalar()
 
+    sized = baskets.join(sizes.where(F.col("size") > 1), "order_id").join(aside, "order_id", "left_anti")
     slices = F.ceil(F.col("size") / F.lit(large_basket)).cast("int")
-    rest = baskets.join(large.join(aside.select("order_id"), "order_id", "left_anti"), "order_id")
-    left = rest.select(
-        F.col("order_id").alias("left_order"),
-        F.pmod(F.xxhash64("product_id"), slices).cast("int").alias("left_slice"),
+    left = sized.select(
+        "order_id",
+        F.pmod(F.xxhash64("product_id"), slices).cast("int").alias("slice"),
         F.col("product_id").alias("product_a"),
     )
-    right = rest.select(
-        F.col("order_id").alias("right_order"),
-        F.explode(F.sequence(F.lit(0), slices - 1)).alias("right_slice"),
+    right = sized.select(
+        "order_id",
+        F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"),
         F.col("product_id").alias("product_b"),
     )
-    large_pairs = left.join(
-        right,
-        (F.col("left_order") == F.col("right_order"))
-        & (F.col("left_slice") == F.col("right_slice"))
-        & (F.col("product_a") < F.col("product_b")),
-    ).select("product_a", "product_b")
-
     counted = (
-        small_pairs.unionByName(large_pairs)
+        left.join(right, ["order_id", "slice"])
+        .where(F.col("product_a") < F.col("product_b"))
         .groupBy("product_a", "product_b")
         .agg(F.count(F.lit(1)).alias("paired"))
     )
 
     # At most min_co - 1 orders per product.
     set_aside = (
-        baskets.join(aside.select("order_id"), "order_id")
+        baskets.join(aside, "order_id")
         .groupBy("product_id")
         .agg(F.collect_set("order_id").alias("aside"))
     )
@@ -220,7 +213,6 @@ def product_affinity(
         F.col("product_a_orders"),
         F.col("product_b_orders"),
     )
-    aside_total = aside.agg(F.count("order_id").alias("n")).select("n").scalar()
     return (
         counted.where(F.col("paired") + aside_total >= min_co)
         .join(side("a"), "product_a")
