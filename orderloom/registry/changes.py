@@ -236,13 +236,12 @@ add(
              union all select id, 'tier', length(tier), 9 from v_users) x
        where n > most""",
 )
-_GONE = F.col("id") % 7 == 0
 add(
     "c07_delete_cascade",
     lambda t: constraints.delete_cascade(
         t.v_order_items,
         "order_id",
-        t.v_orders.join(t.v_users.where(_GONE).select(F.col("id").alias("user_id")), "user_id", "left_semi"),
+        t.v_orders.join(t.v_users.where("id % 7 = 0").select(F.col("id").alias("user_id")), "user_id", "left_semi"),
     ),
     """select i.* from v_order_items i
        where i.order_id not in (select id from v_orders where user_id % 7 = 0)""",
@@ -250,7 +249,7 @@ add(
 )
 add(
     "c08_delete_set_null",
-    lambda t: constraints.delete_set_null(t.v_views, "user_id", t.v_users.where(_GONE)),
+    lambda t: constraints.delete_set_null(t.v_views, "user_id", t.v_users.where("id % 7 = 0")),
     """select w.id, w.product_id,
               case when w.user_id in (select id from v_users where id % 7 = 0) then null
                    else w.user_id end as user_id, w.created_at

@@ -55,17 +55,20 @@ add("p11_recent_orders", lambda t: lookup.recent_orders(t.v_orders, as_of="2001-
     "select * from v_orders where created_at >= timestamp '2001-02-01'", doubles="total_amount")
 add("p12_high_rated_reviews", lambda t: lookup.high_rated_reviews(t.v_reviews),
     "select * from v_reviews where rating >= 4 and status = 'APPROVED'")
-_TAGS = F.split("name", " ")
+
+
+def _tagged(t):
+    return t.v_products.select("id", F.split("name", " ").alias("tags"))
+
+
 add(
     "p13_tag_membership",
-    lambda t: lookup.with_member(t.v_products.select("id", _TAGS.alias("tags")), "tags", "ring").select("id"),
+    lambda t: lookup.with_member(_tagged(t), "tags", "ring").select("id"),
     "select id from v_products where list_contains(string_split(name, ' '), 'ring')",
 )
 add(
     "p13_tag_overlap",
-    lambda t: lookup.with_any_member(
-        t.v_products.select("id", _TAGS.alias("tags")), "tags", ["red", "bolt"]
-    ).select("id"),
+    lambda t: lookup.with_any_member(_tagged(t), "tags", ["red", "bolt"]).select("id"),
     "select id from v_products where list_has_any(string_split(name, ' '), ['red', 'bolt'])",
 )
 add(

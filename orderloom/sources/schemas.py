@@ -165,7 +165,8 @@ CONSTRAINTS = {
     ),
     "inventory_logs": Constraints(references=(Reference("product_id", "products"),)),
     "coupons": Constraints(
-        unique=(("code",),), defaults={"minimum_purchase": 0, "usage_count": 0, "is_active": True}
+        unique=(("code",),),
+        defaults={"minimum_purchase": 0, "usage_count": 0, "user_usage_limit": 1, "is_active": True},
     ),
     "orders": Constraints(
         unique=(("order_number",),),
@@ -193,11 +194,11 @@ CONSTRAINTS = {
         references=(Reference("order_id", "orders"),), defaults={"currency": "KRW", "status": "PENDING"}
     ),
     "shipments": Constraints(
-        references=(Reference("order_id", "orders"),), defaults={"status": "PENDING"}
+        references=(Reference("order_id", "orders"),), defaults={"status": "PROCESSING"}
     ),
     "shipment_tracking": Constraints(references=(_owned("shipment_id", "shipments"),)),
     "cart_items": Constraints(
-        references=(_owned("user_id", "users"), _owned("product_id", "products")),
+        references=(_owned("user_id", "users"), Reference("product_id", "products")),
         defaults={"quantity": 1},
     ),
     "wishlist_items": Constraints(

@@ -10,9 +10,17 @@ from pyspark.sql import types as T
 TOPIC = "orders"
 CREATED = "ORDER_CREATED"
 STATUS_UPDATED = "ORDER_STATUS_UPDATED"
-EVENT_SCHEMA = T.StructType.fromDDL(
-    "eventType STRING, orderId BIGINT, userId BIGINT, productId BIGINT, quantity INT, "
-    "totalAmount DECIMAL(12,2), status STRING, timestamp STRING"
+EVENT_SCHEMA = T.StructType(
+    [
+        T.StructField("eventType", T.StringType()),
+        T.StructField("orderId", T.LongType()),
+        T.StructField("userId", T.LongType()),
+        T.StructField("productId", T.LongType()),
+        T.StructField("quantity", T.IntegerType()),
+        T.StructField("totalAmount", T.DecimalType(12, 2)),
+        T.StructField("status", T.StringType()),
+        T.StructField("timestamp", T.StringType()),
+    ]
 )
 
 
@@ -89,9 +97,9 @@ def decode(raw: DataFrame) -> DataFrame:
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
-    """Valid events with their time in ``at``; an event without one gets the time of its batch."""
-    at = F.coalesce(F.col("event.timestamp").try_cast("timestamp_ntz"), F.localtimestamp())
-    return decoded.where("valid").select("event.*", at.alias("at"))
+    """Valid events with ``event_time``; an event without a time gets that of its batch."""
+    time = F.coalesce(F.col("event.timestamp").try_cast("timestamp_ntz"), F.localtimestamp())
+    return decoded.where("valid").select("event.*", time.alias("event_time"))
 
 
 def rejected(decoded: DataFrame) -> DataFrame:
@@ -105,7 +113,8 @@ def without_repeats(events: DataFrame, horizon: str = "30 days") -> DataFrame:
     On a stream, events older than the newest one by more than the horizon are
     dropped as well, so that the state stays bounded.
     """
-    keys = ["orderId", "eventType", "at"]
-    if events.isStreaming:
-        return events.withWatermark("at", horizon).dropDuplicates(keys)
-    return events.dropDuplicates(keys)
+    keys = ["orderId", "eventType", "event_time"]
+    if not events.isStreaming:
+        return events.dropDuplicates(keys)
+    marked = events.withColumn("_mark", F.col("event_time").cast("timestamp"))
+    return marked.withWatermark("_mark", horizon).dropDuplicatesWithinWatermark(keys).drop("_mark")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,27 +20,12 @@ PUSH = "PUSH"
 EXPIRE = "EXPIRE"
 
 _STATE = "list_start BIGINT, last_push BIGINT, length BIGINT"
+_CARRIED = ["orderId", "eventType", "subject", "message"]
+# Times are microseconds since 1970 here and become timestamps afterwards.
 _LOG = (
-    "recipient STRING, op STRING, list_start TIMESTAMP_NTZ, seq BIGINT, sentAt TIMESTAMP_NTZ, "
-    "orderId BIGINT, eventType STRING, subject STRING, message STRING, expires_at TIMESTAMP_NTZ"
+    "recipient STRING, op STRING, list_start BIGINT, seq BIGINT, pushed BIGINT, expires_at BIGINT, "
+    "orderId BIGINT, eventType STRING, subject STRING, message STRING"
 )
-_COLUMNS = [part.split()[0] for part in _LOG.split(", ")]
-_CARRIED = ["orderId", "eventType", "subject", "message"]
-
-
-def _micros(times: pd.Series) -> pd.Series:
-    return times.astype("datetime64[us]").astype("int64")
-
-
-def _times(micros) -> pd.Series:
-    return pd.Series(micros, dtype="int64").astype("datetime64[us]")
-
-
-def _expiry(recipient: str, start: int, length: int, at: int) -> pd.DataFrame:
-    row = pd.DataFrame({"recipient": [recipient], "op": [EXPIRE], "seq": [length]})
-    for column, value in (("list_start", start), ("sentAt", at), ("expires_at", at)):
-        row[column] = _times([value])
-    return row.reindex(columns=_COLUMNS)
 
 
 def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "30 days") -> DataFrame:
@@ -52,7 +37,14 @@ def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "3
     its newest list, unless that has an expiry. Memory per key is bounded by the
     rows of one key in one batch, which the source limits per trigger.
     """
+    # Plain values only, so that the executors need nothing of this package.
     lifetime = ttl_days * 86_400_000_000
+    columns = [part.split()[0] for part in _LOG.split(", ")]
+    push, expire = PUSH, EXPIRE
+
+    def expiry(recipient: str, start: int, length: int, at: int) -> pd.DataFrame:
+        row = {"recipient": recipient, "op": expire, "list_start": start, "seq": length}
+        return pd.DataFrame([{**row, "pushed": at, "expires_at": at}]).reindex(columns=columns)
 
     def step(
         key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
@@ -61,16 +53,15 @@ def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "3
         if state.hasTimedOut:
             start, last, length = state.get
             state.remove()
-            yield _expiry(recipient, start, length, last + lifetime)
+            yield expiry(recipient, start, length, last + lifetime)
             return
 
         start, last, length = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(chunks)).sort_values(["sentAt", "orderId", "eventType"], kind="stable")
-        times = _micros(rows["sentAt"]).to_numpy()
+        rows = pd.concat(list(chunks)).sort_values(["pushed", "orderId", "eventType"], kind="stable")
         starts, lengths, ends = [], [], []
-        for at in times.tolist():
+        for at in rows["pushed"].tolist():
             if last is not None and at - last > lifetime:
-                yield _expiry(recipient, start, length, last + lifetime)
+                yield expiry(recipient, start, length, last + lifetime)
                 start = None
             if start is None:
                 start, last, length = at, at, 0
@@ -81,16 +72,27 @@ def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "3
             ends.append(last + lifetime)
         state.update((start, last, length))
         state.setTimeoutTimestamp((last + lifetime) // 1000 + 1)
+        yield rows.assign(
+            recipient=recipient, op=push, list_start=starts, seq=lengths, expires_at=ends
+        )[columns]
+
+    sent_at = F.col("sentAt").cast("timestamp")
+    log = (
+        sent.select("recipient", sent_at.alias("mark"), F.unix_micros(sent_at).alias("pushed"), *_CARRIED)
+        .withWatermark("mark", lateness)
+        .groupBy("recipient")
+        .applyInPandasWithState(step, _LOG, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
-        log = rows[_CARRIED].reset_index(drop=True)
-        log["recipient"] = recipient
-        log["op"] = PUSH
-        log["seq"] = lengths
-        for column, values in (("list_start", starts), ("sentAt", times), ("expires_at", ends)):
-            log[column] = _times(values)
-        yield log[_COLUMNS]
-
-    keyed = sent.select("recipient", F.col("sentAt"), *_CARRIED).withWatermark("sentAt", lateness)
-    return keyed.groupBy("recipient").applyInPandasWithState(
-        step, _LOG, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    def time(name: str) -> Column:
+        return F.timestamp_micros(name).cast("timestamp_ntz")
+
+    return log.select(
+        "recipient",
+        "op",
+        time("list_start").alias("list_start"),
+        "seq",
+        time("pushed").alias("sentAt"),
+        time("expires_at").alias("expires_at"),
+        *_CARRIED,
     )

@@ -47,7 +47,7 @@ def notifications(events: DataFrame) -> DataFrame:
         .otherwise(_text(STATUS_TEXT, F.col("status")))
         .alias("message"),
         F.lit(PENDING).alias("status"),
-        F.col("at").alias("createdAt"),
+        F.col("event_time").alias("createdAt"),
         F.lit(None).cast("timestamp_ntz").alias("sentAt"),
         address(recipient).alias("email"),
         "orderId",
