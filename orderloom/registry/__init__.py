@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ("analytics", "lookups", "changes", "workload", "requests", "streaming")
+_AREAS = ("analytics", "sources", "lookups", "changes", "workload", "requests", "streaming", "synthetic")
 
 
 def areas():

@@ -81,10 +81,18 @@ def raw_events(t: CanonicalTables) -> DataFrame:
     )
 
 
-def _stream(t: CanonicalTables) -> DataFrame:
+def _event_files(t: CanonicalTables) -> str:
     folder = shared_folder(t.spark, "events")
     raw_events(t).write.text(folder)
-    return ev.file_stream(t.spark, folder)
+    return folder
+
+
+def _stream(t: CanonicalTables) -> DataFrame:
+    return ev.file_stream(t.spark, _event_files(t))
+
+
+def _pending(t: CanonicalTables) -> DataFrame:
+    return notifications.order_notifications(t.spark.read.text(_event_files(t)))
 
 
 def _finish(stream: DataFrame, purpose: str) -> DataFrame:
@@ -111,7 +119,7 @@ def _notified(t: CanonicalTables, table: str) -> DataFrame:
 
 
 def _sent(t: CanonicalTables) -> DataFrame:
-    return notifications.delivered(notifications.order_notifications(raw_events(t)))
+    return notifications.delivered(_pending(t))
 
 
 add(
@@ -153,7 +161,7 @@ add(
 )
 add(
     "st02_routed_events",
-    lambda t: notifications.order_notifications(raw_events(t))
+    lambda t: _pending(t)
     .groupBy("eventType", "subject")
     .agg(F.count(F.lit(1)).alias("events")),
     'select "eventType", subject, count(*) as events from messages group by all',
@@ -162,7 +170,7 @@ add(
 _COMMON = 'recipient, \'ORDER\' as type, subject, message, email, "orderId", "eventType"'
 add(
     "st03_notifications",
-    lambda t: notifications.order_notifications(raw_events(t)).drop("id", "sentAt"),
+    lambda t: _pending(t).drop("id", "sentAt"),
     f'select {_COMMON}, \'PENDING\' as status, event_time as "createdAt" from messages',
     named=(_EVENTS, _GOOD, _MESSAGES),
 )

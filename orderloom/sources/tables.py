@@ -89,7 +89,9 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_by_month(df: DataFrame, path: str, *, ts: str = "created_at", files_per_month: int = 1) -> None:
+def write_by_month(
+    df: DataFrame, path: str, *, ts: str = "created_at", partitions: int | None = None
+) -> None:
     """Write a fact table in folders by year and month of a timestamp.
 
     Rows are ranged by month and time first, so a task writes to few folders and
@@ -97,18 +99,26 @@ def write_by_month(df: DataFrame, path: str, *, ts: str = "created_at", files_pe
     many ranges as its share of the rows asks for.
     """
     dated = df.withColumns({"year": F.year(ts), "month": F.month(ts)})
-    by = ["year", "month", ts]
-    ranged = (
-        dated.repartitionByRange(*by) if files_per_month == 1 else dated.repartitionByRange(
-            files_per_month * 12, *by
-        )
-    )
+    by = [F.col("year"), F.col("month"), F.col(ts)]
+    ranged = dated.repartitionByRange(*by) if partitions is None else dated.repartitionByRange(partitions, *by)
     ranged.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, *, key: str, buckets: int, sort: Sequence[str] = ()) -> None:
-    """Save a catalogue table bucketed by a join key, so that joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort).saveAsTable(table)
+def write_bucketed(
+    df: DataFrame, table: str, path: str, *, key: str, buckets: int, sort: Sequence[str] = ()
+) -> None:
+    """Save a catalogue table bucketed by a join key, so that joins on it need no shuffle.
+
+    Rows are spread by the key first, so a bucket is one file and not one per task.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, key)
+        .sortBy(key, *sort)
+        .saveAsTable(table)
+    )
 
 
 def write_with_bloom_filter(df: DataFrame, path: str, columns: Sequence[str]) -> None:

@@ -40,11 +40,7 @@ def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "3
     # Plain values only, so that the executors need nothing of this package.
     lifetime = ttl_days * 86_400_000_000
     columns = [part.split()[0] for part in _LOG.split(", ")]
-    push, expire = PUSH, EXPIRE
-
-    def expiry(recipient: str, start: int, length: int, at: int) -> pd.DataFrame:
-        row = {"recipient": recipient, "op": expire, "list_start": start, "seq": length}
-        return pd.DataFrame([{**row, "pushed": at, "expires_at": at}]).reindex(columns=columns)
+    carried, push, expire = list(_CARRIED), PUSH, EXPIRE
 
     def step(
         key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
@@ -53,28 +49,29 @@ def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "3
         if state.hasTimedOut:
             start, last, length = state.get
             state.remove()
-            yield expiry(recipient, start, length, last + lifetime)
+            end = last + lifetime
+            ended = [(recipient, expire, start, length, end, end, None, None, None, None)]
+            yield pd.DataFrame(ended, columns=columns)
             return
 
         start, last, length = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(chunks)).sort_values(["pushed", "orderId", "eventType"], kind="stable")
-        starts, lengths, ends = [], [], []
-        for at in rows["pushed"].tolist():
+        rows = pd.concat(list(chunks))[["pushed", *carried]].sort_values(
+            ["pushed", "orderId", "eventType"], kind="stable"
+        )
+        log = []
+        for at, *entry in rows.itertuples(index=False, name=None):
             if last is not None and at - last > lifetime:
-                yield expiry(recipient, start, length, last + lifetime)
+                end = last + lifetime
+                log.append((recipient, expire, start, length, end, end, None, None, None, None))
                 start = None
             if start is None:
                 start, last, length = at, at, 0
             last = max(last, at)
             length += 1
-            starts.append(start)
-            lengths.append(length)
-            ends.append(last + lifetime)
+            log.append((recipient, push, start, length, at, last + lifetime, *entry))
         state.update((start, last, length))
         state.setTimeoutTimestamp((last + lifetime) // 1000 + 1)
-        yield rows.assign(
-            recipient=recipient, op=push, list_start=starts, seq=lengths, expires_at=ends
-        )[columns]
+        yield pd.DataFrame(log, columns=columns)
 
     sent_at = F.col("sentAt").cast("timestamp")
     log = (
