@@ -119,6 +119,13 @@ def _notified(t: CanonicalTables, table: str) -> DataFrame:
 
 
 def _sent(t: CanonicalTables) -> DataFrame:
+    """Sent notifications, read from a table as a history sink leaves it."""
+    folder = shared_folder(t.spark, "sent")
+    _delivered(t).write.parquet(folder)
+    return t.spark.read.parquet(folder)
+
+
+def _delivered(t: CanonicalTables) -> DataFrame:
     return notifications.delivered(_pending(t))
 
 
@@ -185,7 +192,7 @@ for _name in ("s06_notification_history", "st06_delivery_status"):
         _name,
         (lambda t: _notified(t, "history").drop("id"))
         if _name.startswith("s06")
-        else (lambda t: _sent(t).drop("id")),
+        else (lambda t: _delivered(t).drop("id")),
         f'select {_COMMON}, \'SENT\' as status, event_time as "createdAt", event_time as "sentAt" from messages',
         named=(_EVENTS, _GOOD, _MESSAGES),
     )
