@@ -170,21 +170,41 @@ def product_affinity(
     )
     aside_total = aside.agg(F.count("order_id").alias("n")).select("n").scalar()
 
-    sized = baskets.join(sizes.where(F.col("size") > 1), "order_id").join(aside, "order_id", "left_anti")
-    slices = F.ceil(F.col("size") / F.lit(large_basket)).cast("int")
-    left = sized.select(
-        "order_id",
-        F.pmod(F.xxhash64("product_id"), slices).cast("int").alias("slice"),
-        F.col("product_id").alias("product_a"),
+    # An outer join with a test for null, as an anti join would also be moved
+    # below the distinct.
+    paired_orders = (
+        sizes.where(F.col("size") > 1)
+        .join(aside.withColumn("set_aside", F.lit(True)), "order_id", "left")
+        .where(F.col("set_aside").isNull())
+        .drop("set_aside")
     )
-    right = sized.select(
-        "order_id",
-        F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"),
-        F.col("product_id").alias("product_b"),
+    small = baskets.join(paired_orders.where(F.col("size") <= large_basket), "order_id").drop("size")
+    small_pairs = (
+        small.withColumnRenamed("product_id", "product_a")
+        .join(small.withColumnRenamed("product_id", "product_b"), "order_id")
+        .where(F.col("product_a") < F.col("product_b"))
     )
-    counted = (
-        left.join(right, ["order_id", "slice"])
+    large = baskets.join(paired_orders.where(F.col("size") > large_basket), "order_id")
+    slices = F.ceil(F.col("size") / F.lit(large_basket)).cast("int")
+    large_pairs = (
+        large.select(
+            "order_id",
+            F.pmod(F.xxhash64("product_id"), slices).cast("int").alias("slice"),
+            F.col("product_id").alias("product_a"),
+        )
+        .join(
+            large.select(
+                "order_id",
+                F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"),
+                F.col("product_id").alias("product_b"),
+            ),
+            ["order_id", "slice"],
+        )
         .where(F.col("product_a") < F.col("product_b"))
+    )
+    counted = (
+        small_pairs.select("product_a", "product_b")
+        .unionByName(large_pairs.select("product_a", "product_b"))
         .groupBy("product_a", "product_b")
         .agg(F.count(F.lit(1)).alias("paired"))
     )
