@@ -1,8 +1,8 @@
 """Running totals, ranks and quantiles that need a global order.
 
 A window over a whole group sorts it in one task. The operators here first
-aggregate per slot of the order (a minute, or a distinct value), get the totals
-before each slot from those few rows, and then only work within slots.
+aggregate per slot of the order (such as a minute), get the totals before each
+slot from those few rows, and then only work within slots.
 """
 
 from __future__ import annotations
@@ -16,42 +16,111 @@ from pyspark.sql import types as T
 from orderloom.functions.scalars import bounded
 
 
+# A slot with more than one in so many rows is cut further.
+HOT_SHARE = 1_000
+_CHUNK, _CHUNKS = 64, 64
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     slot: Column,
-    order: Sequence[Column],
+    order: Sequence[str],
     totals: Mapping[str, Column],
+    *,
+    minima: Mapping[str, Column] | None = None,
+    descending: bool = False,
+    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Add running sums over the rows of each group in order.
+    """Add running sums and minima over the rows of each group in order.
 
-    ``slot`` cuts the order into ranges: it must not decrease along it. The
-    sums before a slot come from one row per group and slot.
+    ``order`` names the columns to order by, all of them falling if
+    ``descending``; together they should tell the rows of a group apart. ``slot``
+    cuts the order into ranges and must not decrease along it. The values before
+    a slot come from one row per group and slot. A slot that holds a large part
+    of all rows is cut again at rows picked by their hash, so that no task gets
+    it whole. Both cuts follow from the data alone and are the same in a retry.
     """
+    folds = {n: (e, F.sum, F.lit(0)) for n, e in totals.items()}
+    folds |= {n: (e, F.min, None) for n, e in (minima or {}).items()}
+    coarse = df.withColumn(
+        "_coarse", F.struct(*by, F.coalesce(slot.cast("bigint"), F.lit(-(2**62))).alias("_slot"))
+    ).withColumn("_place", F.struct(*order))
+
+    rows = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    # Fewer than hot_share slots can hold that much.
+    hot = bounded(
+        coarse.groupBy("_coarse")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") * hot_share > rows)
+        .select("_coarse", F.lit(True).alias("_hot")),
+        hot_share,
+    )
+    fine = F.when(F.col("_hot"), _place_among(F.col("_place")))
     # One struct as key: unlike plain columns it joins null groups as equal and
     # keeps a single shuffle for the window and the join.
-    key = F.struct(*by, F.coalesce(slot.cast("bigint"), F.lit(-(2**62))).alias("_slot"))
-    keyed = df.withColumn("_key", key)
-    per_slot = keyed.groupBy("_key").agg(*(F.sum(e).alias(f"_sum_{n}") for n, e in totals.items()))
+    keyed = (
+        coarse.join(hot, "_coarse", "left")
+        .withColumn("_cuts", _cuts(coarse.join(hot, "_coarse")))
+        .withColumn("_key", F.struct("_coarse.*", (-fine if descending else fine).alias("_fine")))
+        .drop("_cuts")
+    )
+
+    per_slot = keyed.groupBy("_key").agg(*(fold(e).alias(f"_all_{n}") for n, (e, fold, _) in folds.items()))
     earlier = (
         Window.partitionBy(*(f"_key.{c}" for c in by))
-        .orderBy("_key._slot")
+        .orderBy("_key._slot", "_key._fine")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = per_slot.select(
-        "_key",
-        *(F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals),
+        "_key", *(fold(f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (_, fold, _) in folds.items())
     )
     within = (
-        Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("_key")
+        .orderBy(*(F.col(c).desc() if descending else F.col(c) for c in order))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    joined = keyed.withColumns({f"_in_{n}": fold(e).over(within) for n, (e, fold, _) in folds.items()}).join(
+        offsets, "_key"
     )
+
+    def combined(name: str, start: Column | None) -> Column:
+        before, inside = F.col(f"_before_{name}"), F.col(f"_in_{name}")
+        if start is None:
+            return F.least(before, inside).alias(name)
+        return (F.coalesce(before, start) + inside).alias(name)
+
+    return joined.select(*df.columns, *(combined(n, start) for n, (_, _, start) in folds.items()))
+
+
+def _cuts(df: DataFrame) -> Column:
+    """Some places of the order as sorted chunks: those with the lowest hashes."""
+    place = F.col("_place")
+    picked = df.select("_place").orderBy(F.xxhash64(place), place).limit(_CHUNK * _CHUNKS)
+    whole = F.array_sort(F.collect_list("_place"))
     return (
-        keyed.withColumns({f"_in_{n}": F.sum(e).over(within) for n, e in totals.items()})
-        .join(offsets, "_key")
-        .select(*df.columns, *((F.col(f"_before_{n}") + F.col(f"_in_{n}")).alias(n) for n in totals))
+        picked.agg(whole.alias("a"))
+        .select(
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.ceil(F.size("a") / F.lit(_CHUNK)).cast("int") - 1, F.lit(0))),
+                lambda i: F.slice("a", i * _CHUNK + 1, _CHUNK),
+            ).alias("chunks")
+        )
+        .select(
+            F.struct(F.transform("chunks", lambda c: F.get(c, F.size(c) - 1)).alias("ends"), "chunks").alias("cuts")
+        )
+        .select("cuts")
+        .scalar()
     )
 
 
+def _place_among(place: Column) -> Column:
+    """Number of cuts, in the column ``_cuts``, before a place: whole chunks, then within one."""
+    whole = F.size(F.filter(F.col("_cuts.ends"), lambda end: end < place))
+    rest = F.size(F.filter(F.get(F.col("_cuts.chunks"), whole), lambda cut: cut < place))
+    return whole * _CHUNK + F.coalesce(rest, F.lit(0))
+
+
 def value_rank(df: DataFrame, column: str, slots: int = 4096) -> DataFrame:
     """Rank of each distinct value of a column; equal rows share their mean rank.
 
@@ -73,7 +142,7 @@ def value_rank(df: DataFrame, column: str, slots: int = 4096) -> DataFrame:
     code = _code(df, column, column, F.col("_scale.shared"))
     width = F.nullif(F.col("_scale.high") - F.col("_scale.low"), F.lit(0.0))
     slot = F.coalesce(F.floor((code - F.col("_scale.low")) / width * slots), F.lit(0))
-    ranked = running_totals(scaled, [], slot, [F.col(column)], {"upto": F.col("copies")})
+    ranked = running_totals(scaled, [], slot, [column], {"upto": F.col("copies")})
     return ranked.select(
         column, (F.col("upto") - (F.col("copies") - 1) / F.lit(2.0)).cast("double").alias("rank")
     )

@@ -121,7 +121,7 @@ def rolling_failure_rate(
         log.select(by, "ts", "request_id", bad.alias("bad")),
         [by],
         minute_index(F.col("ts")),
-        [F.col("ts"), F.col("request_id")],
+        ["ts", "request_id"],
         {"position": F.lit(1)},
     )
     home = F.floor((F.col("position") - 1) / F.lit(block))
@@ -178,7 +178,7 @@ def progress_series(log: DataFrame, *, every: int = 100) -> DataFrame:
         log.select("ts", "request_id", "status"),
         [],
         minute_index(F.col("ts")),
-        [F.col("ts"), F.col("request_id")],
+        ["ts", "request_id"],
         {
             "completed": F.lit(1),
             "success": flag("success"),

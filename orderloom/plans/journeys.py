@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.scalars import Day, hour_index, midnight, percent, quotient, top_rows
+from orderloom.operators.ordered import running_totals
 
 
 def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFrame:
@@ -13,17 +14,15 @@ def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFr
 
     A purchase counts if the same user bought the clicked product strictly after
     the search. Searches and purchases are laid on one timeline per user and
-    product and cut by hour. Within the hour a running minimum over descending
-    time finds the purchases after each search; for the hours after it, a
-    minimum per hour is enough. So no search is paired with every purchase, and
-    a busy user and product spreads over as many tasks as there are hours.
+    product, where a running minimum from the end gives each search the lowest
+    order id after it. So no search is paired with every purchase.
     """
     timeline = clicks.select(
         "user_id",
         F.col("clicked_product_id").alias("product_id"),
         F.col("created_at").alias("at"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("bigint").alias("order_id"),
+        F.lit(1).alias("is_search"),
+        F.col("id").cast("bigint").alias("entry"),
         "search_query",
         "results_count",
     ).unionByName(
@@ -31,40 +30,29 @@ def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFr
             "user_id",
             "product_id",
             F.col("created_at").alias("at"),
-            F.lit(1).alias("kind"),
-            "order_id",
+            F.lit(0).alias("is_search"),
+            F.col("order_id").cast("bigint").alias("entry"),
             F.lit(None).cast("string").alias("search_query"),
             F.lit(None).cast("int").alias("results_count"),
         )
-    ).withColumn("hour", hour_index(F.col("at")))
-    slot = ["user_id", "product_id", "hour"]
-
-    # Searches sort before purchases of the same instant and so do not see them.
-    after = (
-        Window.partitionBy(*slot)
-        .orderBy(F.col("at").desc(), "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    same_hour = timeline.withColumn("soon", F.min("order_id").over(after)).where(F.col("kind") == 0)
-
-    later_hours = (
-        Window.partitionBy("user_id", "product_id")
-        .orderBy(F.col("hour").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    hourly = (
-        timeline.groupBy(*slot)
-        .agg(F.min("order_id").alias("lowest"))
-        .withColumn("later", F.min("lowest").over(later_hours))
-        .select(*slot, "later")
+    # From the end, searches come before purchases of the same instant.
+    followed = running_totals(
+        timeline,
+        ["user_id", "product_id"],
+        -hour_index(F.col("at")),
+        ["at", "is_search", "entry"],
+        {},
+        minima={"converted_order": F.when(F.col("is_search") == 0, F.col("entry"))},
+        descending=True,
     )
-    return same_hour.join(hourly, slot, "left").select(
+    return followed.where(F.col("is_search") == 1).select(
         "user_id",
         F.col("product_id").alias("clicked_product_id"),
         F.col("at").alias("created_at"),
         "search_query",
         "results_count",
-        F.least("soon", "later").alias("converted_order"),
+        "converted_order",
     )
 
 
@@ -81,7 +69,7 @@ def search_effectiveness(
     """Searches, clicks and purchases after a click, per search text and hour of day."""
     start = midnight(as_of, days)
     recent = searches.where(F.col("created_at") >= start).select(
-        "user_id", "search_query", "results_count", "clicked_product_id", "created_at"
+        "id", "user_id", "search_query", "results_count", "clicked_product_id", "created_at"
     )
     clicked = F.col("user_id").isNotNull() & F.col("clicked_product_id").isNotNull()
     purchases = (
@@ -90,7 +78,9 @@ def search_effectiveness(
         .join(items.select("order_id", "product_id"), "order_id")
     )
     followed = _first_orders_after_click(recent.where(clicked), purchases)
-    other = recent.where(~clicked).withColumn("converted_order", F.lit(None).cast("bigint"))
+    other = (
+        recent.where(~clicked).drop("id").withColumn("converted_order", F.lit(None).cast("bigint"))
+    )
 
     hour = F.hour("created_at")
     grouped = (

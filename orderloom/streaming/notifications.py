@@ -141,13 +141,13 @@ def notification_history(sent: DataFrame, *, now: Column, ttl_days: int = TTL_DA
         .where(F.col("sentAt") >= F.col("list_start"))
         .drop("list_start", "last_push")
     )
-    newest_first = [F.col("sentAt").desc(), F.col("orderId").desc(), F.col("eventType").desc()]
     return running_totals(
         entries,
         ["recipient"],
         -F.unix_date(F.to_date("sentAt")),
-        newest_first,
+        ["sentAt", "orderId", "eventType"],
         {"position": F.lit(1)},
+        descending=True,
     )
 
 

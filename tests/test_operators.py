@@ -307,10 +307,13 @@ def test_dependencies_and_progress(spark, rows):
     assert steps[1].speed == pytest.approx(6 / 300)
 
 
-def test_running_totals_with_null_groups_and_slots(spark):
+@pytest.mark.parametrize("hot_share", [1, 1_000_000])
+def test_running_totals_with_null_groups_and_slots(spark, hot_share):
     data = [("a", 1, 1), ("a", 5, 2), ("a", None, 4), (None, 2, 8), (None, 9, 16)]
     df = spark.createDataFrame(data, "g string, t int, v int")
-    result = ordered.running_totals(df, ["g"], F.floor(F.col("t") / 3), [F.col("t")], {"total": F.col("v")})
+    result = ordered.running_totals(
+        df, ["g"], F.floor(F.col("t") / 3), ["t"], {"total": F.col("v")}, hot_share=hot_share
+    )
     assert {(r.g, r.t): r.total for r in result.collect()} == {
         ("a", None): 4,
         ("a", 1): 5,
@@ -318,3 +321,44 @@ def test_running_totals_with_null_groups_and_slots(spark):
         (None, 2): 8,
         (None, 9): 24,
     }
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("hot_share", [1, 3, 50, 1_000_000])
+def test_running_totals_cut_hot_slots(spark, descending, hot_share):
+    """Most rows share a slot, and many of them an instant as well."""
+    random.seed(hot_share)
+    data = [
+        (random.choice("aab"), random.choice([7, 7, 7, random.randint(0, 30)]), i, random.randint(-5, 5))
+        for i in range(9_000)
+    ]
+    df = spark.createDataFrame(data, "g string, t int, id int, v int").repartition(7)
+    slot = F.floor(F.col("t") / 10)
+    result = ordered.running_totals(
+        df,
+        ["g"],
+        -slot if descending else slot,
+        ["t", "id"],
+        {"total": F.col("v")},
+        minima={"lowest": F.when(F.col("id") % 7 == 0, F.col("v"))},
+        descending=descending,
+        hot_share=hot_share,
+    )
+    expected = {}
+    for g in "ab":
+        total, lowest = 0, None
+        for _, t, i, v in sorted((d for d in data if d[0] == g), key=lambda d: d[1:3], reverse=descending):
+            total += v
+            if i % 7 == 0:
+                lowest = v if lowest is None else min(lowest, v)
+            expected[i] = (total, lowest)
+    assert {r.id: (r.total, r.lowest) for r in result.collect()} == expected
+
+
+def test_hot_slots_are_spread(spark):
+    """A slot with all rows is cut into many keys of about equal size."""
+    df = spark.range(50_000).select(F.lit(1).alias("t"), F.col("id"))
+    result = ordered.running_totals(df, [], F.col("t"), ["t", "id"], {"n": F.lit(1)})
+    assert result.where("n <> id + 1").count() == 0
+    plan = result._jdf.queryExecution().analyzed().toString()
+    assert "_fine" in plan
