@@ -18,7 +18,7 @@ from orderloom.functions.scalars import bounded
 
 # A slot with more than one in so many rows is cut further.
 HOT_SHARE = 1_000
-_CHUNK, _CHUNKS = 64, 64
+_FAN, _LEVELS = 8, 3
 
 
 def running_totals(
@@ -47,26 +47,39 @@ def running_totals(
         "_coarse", F.struct(*by, F.coalesce(slot.cast("bigint"), F.lit(-(2**62))).alias("_slot"))
     ).withColumn("_place", F.struct(*order))
 
-    rows = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    def folded(rows: DataFrame, *keys: str) -> DataFrame:
+        values = (fold(e).alias(f"_all_{n}") for n, (e, fold, _) in folds.items())
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *values)
+
+    per_coarse = folded(coarse, "_coarse")
+    rows = per_coarse.agg(F.sum("_n").alias("n")).select("n").scalar()
     # Fewer than hot_share slots can hold that much.
     hot = bounded(
-        coarse.groupBy("_coarse")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") * hot_share > rows)
-        .select("_coarse", F.lit(True).alias("_hot")),
+        per_coarse.where(F.col("_n") * hot_share > rows).select("_coarse", F.lit(True).alias("_hot")),
         hot_share,
     )
-    fine = F.when(F.col("_hot"), _place_among(F.col("_place")))
-    # One struct as key: unlike plain columns it joins null groups as equal and
-    # keeps a single shuffle for the window and the join.
-    keyed = (
-        coarse.join(hot, "_coarse", "left")
-        .withColumn("_cuts", _cuts(coarse.join(hot, "_coarse")))
-        .withColumn("_key", F.struct("_coarse.*", (-fine if descending else fine).alias("_fine")))
-        .drop("_cuts")
-    )
+    cuts = _cuts(coarse.join(hot, "_coarse"))
+
+    def keyed(rows: DataFrame, how: str) -> DataFrame:
+        """Rows with their key: one struct, unlike plain columns, joins null groups as
+        equal and keeps a single shuffle for the window and the join."""
+        fine = F.when(F.col("_hot"), _place_among(F.col("_place")))
+        return (
+            rows.join(hot, "_coarse", how)
+            .withColumn("_cuts", cuts)
+            .withColumn("_key", F.struct("_coarse.*", (-fine if descending else fine).alias("_fine")))
+            .drop("_cuts")
+        )
 
-    per_slot = keyed.groupBy("_key").agg(*(fold(e).alias(f"_all_{n}") for n, (e, fold, _) in folds.items()))
+    # Slots as they are, except for hot ones, whose rows are read once more.
+    whole = F.struct("_coarse.*", F.lit(None).cast("int").alias("_fine"))
+    per_slot = (
+        per_coarse.join(hot, "_coarse", "left")
+        .where(F.col("_hot").isNull())
+        .withColumn("_key", whole)
+        .drop("_coarse", "_hot")
+        .unionByName(folded(keyed(coarse, "inner"), "_key"))
+    )
     earlier = (
         Window.partitionBy(*(f"_key.{c}" for c in by))
         .orderBy("_key._slot", "_key._fine")
@@ -80,9 +93,8 @@ def running_totals(
         .orderBy(*(F.col(c).desc() if descending else F.col(c) for c in order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = keyed.withColumns({f"_in_{n}": fold(e).over(within) for n, (e, fold, _) in folds.items()}).join(
-        offsets, "_key"
-    )
+    inside = {f"_in_{n}": fold(e).over(within) for n, (e, fold, _) in folds.items()}
+    joined = keyed(coarse, "left").withColumns(inside).join(offsets, "_key")
 
     def combined(name: str, start: Column | None) -> Column:
         before, inside = F.col(f"_before_{name}"), F.col(f"_in_{name}")
@@ -94,31 +106,31 @@ def running_totals(
 
 
 def _cuts(df: DataFrame) -> Column:
-    """Some places of the order as sorted chunks: those with the lowest hashes."""
+    """Some places of the order, those with the lowest hashes, as a tree of sorted arrays.
+
+    Each level holds the last places of the chunks of the level below.
+    """
     place = F.col("_place")
-    picked = df.select("_place").orderBy(F.xxhash64(place), place).limit(_CHUNK * _CHUNKS)
-    whole = F.array_sort(F.collect_list("_place"))
-    return (
-        picked.agg(whole.alias("a"))
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.ceil(F.size("a") / F.lit(_CHUNK)).cast("int") - 1, F.lit(0))),
-                lambda i: F.slice("a", i * _CHUNK + 1, _CHUNK),
-            ).alias("chunks")
-        )
-        .select(
-            F.struct(F.transform("chunks", lambda c: F.get(c, F.size(c) - 1)).alias("ends"), "chunks").alias("cuts")
-        )
-        .select("cuts")
-        .scalar()
-    )
+    picked = df.select("_place").orderBy(F.xxhash64(place), place).limit(_FAN**_LEVELS)
+    sorted_cuts = F.array_sort(F.collect_list("_place"))
+
+    def every(step: int) -> Column:
+        return F.filter("a", lambda _, i: (i + 1) % step == 0)
+
+    levels = [every(_FAN**level).alias(f"level{level}") for level in range(_LEVELS)]
+    tree = picked.agg(sorted_cuts.alias("a")).select(F.struct(*levels).alias("cuts"))
+    return tree.select("cuts").scalar()
 
 
 def _place_among(place: Column) -> Column:
-    """Number of cuts, in the column ``_cuts``, before a place: whole chunks, then within one."""
-    whole = F.size(F.filter(F.col("_cuts.ends"), lambda end: end < place))
-    rest = F.size(F.filter(F.get(F.col("_cuts.chunks"), whole), lambda cut: cut < place))
-    return whole * _CHUNK + F.coalesce(rest, F.lit(0))
+    """Number of cuts, in the column ``_cuts``, before a place; a step down per level."""
+    before = F.lit(0)
+    for level in reversed(range(_LEVELS)):
+        chunk = F.slice(F.col(f"_cuts.level{level}"), before + 1, _FAN)
+        before = before + F.size(F.filter(chunk, lambda cut: cut < place))
+        if level:
+            before = before * _FAN
+    return before
 
 
 def value_rank(df: DataFrame, column: str, slots: int = 4096) -> DataFrame:
