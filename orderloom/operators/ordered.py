@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from orderloom.functions.scalars import bounded
 
-
 # A slot with more than one in so many rows is cut further.
 HOT_SHARE = 1_000
 _FAN, _LEVELS = 8, 3

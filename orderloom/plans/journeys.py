@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.functions.scalars import Day, hour_index, midnight, percent, quotient, top_rows
-from orderloom.operators.ordered import running_totals
+from orderloom.functions.scalars import Day, midnight, minute_index, percent, quotient, top_rows
 
 
 def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFrame:
@@ -14,46 +13,58 @@ def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFr
 
     A purchase counts if the same user bought the clicked product strictly after
     the search. Searches and purchases are laid on one timeline per user and
-    product, where a running minimum from the end gives each search the lowest
-    order id after it. So no search is paired with every purchase.
+    product. Equal entries of an instant are one row with a weight by then, and
+    the timeline is cut by minute, so that copies and a busy user or product
+    spread out. Within the minute a running minimum from its end gives each
+    search the lowest order id after it; for the minutes after it, one row per
+    minute is enough. So no search is paired with every purchase.
     """
-    timeline = clicks.select(
-        "user_id",
-        F.col("clicked_product_id").alias("product_id"),
-        F.col("created_at").alias("at"),
-        F.lit(1).alias("is_search"),
-        F.col("id").cast("bigint").alias("entry"),
-        "search_query",
-        "results_count",
-    ).unionByName(
-        purchases.select(
+    searched = clicks.groupBy(
+        "user_id", F.col("clicked_product_id").alias("product_id"), F.col("created_at").alias("at"), "search_query"
+    ).agg(
+        F.count(F.lit(1)).alias("searches"),
+        F.sum("results_count").alias("results"),
+        F.count("results_count").alias("with_results"),
+    )
+    bought = purchases.groupBy("user_id", "product_id", F.col("created_at").alias("at")).agg(
+        F.min("order_id").cast("bigint").alias("order_id")
+    )
+    timeline = searched.unionByName(bought, allowMissingColumns=True).withColumn(
+        "minute", minute_index(F.col("at"))
+    )
+    slot = ["user_id", "product_id", "minute"]
+
+    # From the end, searches come before a purchase of the same instant.
+    from_end = (
+        Window.partitionBy(*slot)
+        .orderBy(F.col("at").desc(), F.col("searches").isNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    later_minutes = (
+        Window.partitionBy("user_id", "product_id")
+        .orderBy(F.col("minute").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    by_minute = (
+        timeline.groupBy(*slot)
+        .agg(F.min("order_id").alias("lowest"))
+        .select(*slot, F.min("lowest").over(later_minutes).alias("later"))
+    )
+    return (
+        timeline.withColumn("soon", F.min("order_id").over(from_end))
+        .where(F.col("searches").isNotNull())
+        .join(by_minute, slot)
+        .select(
             "user_id",
-            "product_id",
-            F.col("created_at").alias("at"),
-            F.lit(0).alias("is_search"),
-            F.col("order_id").cast("bigint").alias("entry"),
-            F.lit(None).cast("string").alias("search_query"),
-            F.lit(None).cast("int").alias("results_count"),
+            F.col("product_id").alias("clicked_product_id"),
+            F.col("at").alias("created_at"),
+            "search_query",
+            "searches",
+            "results",
+            "with_results",
+            F.least("soon", "later").alias("converted_order"),
         )
     )
-    # From the end, searches come before purchases of the same instant.
-    followed = running_totals(
-        timeline,
-        ["user_id", "product_id"],
-        -hour_index(F.col("at")),
-        ["at", "is_search", "entry"],
-        {},
-        minima={"converted_order": F.when(F.col("is_search") == 0, F.col("entry"))},
-        descending=True,
-    )
-    return followed.where(F.col("is_search") == 1).select(
-        "user_id",
-        F.col("product_id").alias("clicked_product_id"),
-        F.col("at").alias("created_at"),
-        "search_query",
-        "results_count",
-        "converted_order",
-    )
 
 
 def search_effectiveness(
@@ -69,7 +80,7 @@ def search_effectiveness(
     """Searches, clicks and purchases after a click, per search text and hour of day."""
     start = midnight(as_of, days)
     recent = searches.where(F.col("created_at") >= start).select(
-        "id", "user_id", "search_query", "results_count", "clicked_product_id", "created_at"
+        "user_id", "search_query", "results_count", "clicked_product_id", "created_at"
     )
     clicked = F.col("user_id").isNotNull() & F.col("clicked_product_id").isNotNull()
     purchases = (
@@ -78,8 +89,15 @@ def search_effectiveness(
         .join(items.select("order_id", "product_id"), "order_id")
     )
     followed = _first_orders_after_click(recent.where(clicked), purchases)
-    other = (
-        recent.where(~clicked).drop("id").withColumn("converted_order", F.lit(None).cast("bigint"))
+    other = recent.where(~clicked).select(
+        "user_id",
+        "clicked_product_id",
+        "created_at",
+        "search_query",
+        F.lit(1).cast("bigint").alias("searches"),
+        F.col("results_count").cast("bigint").alias("results"),
+        F.when(F.col("results_count").isNotNull(), 1).otherwise(0).cast("bigint").alias("with_results"),
+        F.lit(None).cast("bigint").alias("converted_order"),
     )
 
     hour = F.hour("created_at")
@@ -87,9 +105,9 @@ def search_effectiveness(
         followed.unionByName(other)
         .groupBy("search_query", hour.alias("search_hour"))
         .agg(
-            F.count(F.lit(1)).alias("search_count"),
+            F.sum("searches").alias("search_count"),
             F.count_distinct("user_id").alias("unique_searchers"),
-            quotient(F.sum("results_count"), F.count("results_count")).alias("avg_results_count"),
+            quotient(F.sum("results"), F.sum("with_results")).alias("avg_results_count"),
             F.count_distinct("clicked_product_id").alias("click_count"),
             F.count_distinct("converted_order").alias("post_click_conversions"),
         )
