@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from orderloom.operators import workload
 from orderloom.registry.core import Registry
 
