@@ -6,8 +6,6 @@ the library changes its settings.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -39,14 +37,12 @@ def local_session(cores: int | str = 8, app: str = "orderloom", **settings: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables that one job writes and a later one reads.
 
-    Lives under ``spark.checkpoint.dir``, which every executor can reach. Only
-    a local session, where driver and executors are one machine, may go without
-    the setting.
+    Lives under ``spark.checkpoint.dir``, or the context's checkpoint folder
+    where only that is set; every executor can reach it. There is no fallback
+    to a folder of one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix=f"orderloom-{purpose}-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     unique = spark.sql("select uuid()").first()[0]
     return f"{root.rstrip('/')}/orderloom-{purpose}-{unique}"

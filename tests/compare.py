@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -72,7 +73,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     wanted = tuple(sys.argv[2:])
     directory = f"/root/testdata/sf{sf}"
-    spark = local_session(8)
+    spark = local_session(8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="orderloom-compare-")})
     connection = connect(directory)
     sql = entry.oracle_sql()
     bad = 0
