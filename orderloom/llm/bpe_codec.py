@@ -24,16 +24,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import Bounded, merge, pair
-from orderloom.llm.common import tokenizer_file
+from orderloom.llm.common import slices, tokenizer_file
 
 FILE = "word_bpe_49k.json"
 #: Chunks between white space that a worker remembers.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 #: Python splits at these too, the vocabulary's white space does not have them.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -133,8 +134,17 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Ids and decoded text of every document: doc_id, ids, decoded."""
-    encoded = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return encoded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
+    path = path or tokenizer_file(FILE)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_codec = codec(path)
+        for batch in slices(batches):
+            ids = [word_codec.encode(text or "") for text in batch["text"].to_pylist()]
+            decoded = [word_codec.decode(packed) for packed in ids]
+            columns = [batch["doc_id"], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(coded, "doc_id long, ids binary, decoded string")
 
 
 def digests(trips: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from orderloom.llm.common import tokenizer_file
 
 FILE = "piece_bpe_32k.model"
 #: Pre-tokens that a worker remembers besides the proven ones.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 SPACE = "▁"
 _PRE_TOKENS = re.compile(" +[^ \n]*|\n|[^ \n]+")
 
