@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import bpe_codec, token_counts
+from orderloom.llm import bpe_codec, packing, token_counts
 from orderloom.llm.common import table
 
 
@@ -18,8 +18,13 @@ def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(table(spark, directory, "documents"))
 
 
+def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
+    "op10_pattern_packing": op10_pattern_packing,
 }
 ORACLES: dict[str, str] = {}
