@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import bpe_codec, packing, token_counts
+from orderloom.llm import bpe_codec, packing, pii, quality, token_counts
 from orderloom.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(table(spark, directory, "documents"))
 
 
+def op7_quality_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.quality_scores(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+def op9_personal_data(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.span_report(pii.find_spans(table(spark, directory, "documents")))
+
+
 def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"))
 
@@ -25,6 +33,8 @@ def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_scores": op7_quality_scores,
+    "op9_personal_data": op9_personal_data,
     "op10_pattern_packing": op10_pattern_packing,
 }
 ORACLES: dict[str, str] = {}
