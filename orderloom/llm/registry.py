@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import bpe_codec, packing, pii, quality, token_counts
+from orderloom.llm import bpe_codec, packing, pii, quality, site_lines, token_counts, warc
 from orderloom.llm.common import table
 
 
+def op1_warc_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    return warc.page_records(table(spark, directory, "pages"))
+
+
+def op4_site_lines(spark: SparkSession, directory: str) -> DataFrame:
+    return site_lines.cleaned_documents(table(spark, directory, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.round_trip(table(spark, directory, "documents")))
 
@@ -31,10 +39,12 @@ def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_round_trip": op1_warc_round_trip,
+    "op4_site_lines": op4_site_lines,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_quality_scores": op7_quality_scores,
     "op9_personal_data": op9_personal_data,
     "op10_pattern_packing": op10_pattern_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_site_lines": site_lines.SQL}
