@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import bpe_codec, packing, pii, quality, site_lines, token_counts, warc
+from orderloom.llm import bpe_codec, multi_index, nn_descent, packing, pii, quality, site_lines, token_counts, warc
 from orderloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     return warc.page_records(table(spark, directory, "pages"))
 
 
+def op3_embedding_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, directory, "embeddings"))
+
+
 def op4_site_lines(spark: SparkSession, directory: str) -> DataFrame:
     return site_lines.cleaned_documents(table(spark, directory, "documents"))
 
@@ -30,6 +34,10 @@ def op7_quality_scores(spark: SparkSession, directory: str) -> DataFrame:
     return quality.quality_scores(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, directory, "embeddings"))
+
+
 def op9_personal_data(spark: SparkSession, directory: str) -> DataFrame:
     return pii.span_report(pii.find_spans(table(spark, directory, "documents")))
 
@@ -40,10 +48,12 @@ def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_site_lines": op4_site_lines,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_quality_scores": op7_quality_scores,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_personal_data": op9_personal_data,
     "op10_pattern_packing": op10_pattern_packing,
 }
