@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import bpe_codec, multi_index, nn_descent, packing, pii, quality, site_lines, token_counts, warc
+from orderloom.llm import bpe_codec, group_join, multi_index, nn_descent, packing, pii, quality, site_lines, token_counts, warc
 from orderloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     return warc.page_records(table(spark, directory, "pages"))
 
 
+def op2_near_duplicate_texts(spark: SparkSession, directory: str) -> DataFrame:
+    return group_join.near_duplicate_groups(table(spark, directory, "documents"))
+
+
 def op3_embedding_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, directory, "embeddings"))
 
@@ -48,6 +52,7 @@ def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op2_near_duplicate_texts": op2_near_duplicate_texts,
     "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
     "op4_site_lines": op4_site_lines,
     "op5_bpe_round_trip": op5_bpe_round_trip,
