@@ -6,20 +6,24 @@ of at least ``percent`` hundredths. It is exact but for hash collisions.
 
 1. Equal sets become one node, so copies are never compared.
 2. Similar nodes are put into groups: signatures of minimum hashes are cut into
-   bands, the nodes of a band's bucket are compared with one leader each, and
-   what is truly linked forms a group. This only decides on the partition; a
-   node that is missed here stays a group of its own.
-3. The matrix of tokens and groups is built from the union of the groups' token
-   prefixes. A prefix holds so many of a set's rarest tokens that two linked sets
-   must share one there. Tokens of many documents count as late; that order is a
-   bitmap of fixed size, and any order gives the same links.
-4. Two groups that meet in the matrix, and whose set sizes allow it, are opened:
-   the larger one is stored in parts of ``PART`` members with the union of their
-   tokens, and a member of the smaller one whose overlap with that union is too
-   small skips the part. Only in parts that qualify it is compared with members.
-
-Members of one group are linked already and are not compared again, and neither
-are copies, so the pairs looked at do not grow with the square of a group.
+   bands, and the nodes of a band's bucket that look like its leader join the
+   leader's group. This only decides on the partition; a node that is missed
+   here stays a group of its own. Nodes that are truly linked with their leader
+   form the first components.
+3. Groups are stored in parts of about ``PART`` members with the union of their
+   tokens; a first component that is larger has parts of its own. Within a group
+   every node meets the parts after its own, except those of its component.
+4. The matrix of tokens and groups is built from the groups' token prefixes. A
+   prefix holds so many of a set's rarest tokens that two linked sets must share
+   one there. Tokens of many documents count as late; that order is a bitmap of
+   fixed size, and any order gives the same links. The members of the smaller of
+   two groups that meet in the matrix, and whose set sizes allow a link, meet all
+   parts of the larger one.
+5. A node whose overlap with a part's union is too small skips the part. Only
+   parts that qualify are opened, that is, the overlaps with all members are
+   counted at once from the part's own token matrix.
+
+No pairs of documents are built: a row is a node and a part.
 
 Documents without words have an empty set and link with nothing; null texts
 count as empty. Repeated rows give repeated results. ``doc_id`` names a document:
@@ -31,7 +35,7 @@ other columns may have any name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +44,13 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.common import slices, stored
 from orderloom.llm.components import components
-from orderloom.llm.shingles import linked, shingle_sets
+from orderloom.llm.shingles import shingle_sets
 from orderloom.llm.vectors import column, groups
 
 PERCENT = 80
 BANDS, ROWS = 8, 3
 #: Equal minimum hashes, of BANDS * ROWS, that make a comparison with a leader worth while.
-ALIKE = 12
+ALIKE = 10
 PART = 64
 #: Queries that meet one copy of a part.
 SALTED = 512
@@ -126,59 +130,82 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     return met.join(classes.select("id", "signature"), "id").where(equal >= ALIKE).select("id", "leader")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def bounded_broadcast(df: DataFrame) -> DataFrame:
     """A stored table, with a broadcast hint if it is shorter than the bound."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of some documents, stored."""
-    wanted = _small(stored(ids.select(F.col("id").alias("doc_id")).distinct(), "ids"))
+    wanted = bounded_broadcast(stored(ids.select(F.col("id").alias("doc_id")).distinct(), "ids"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     return stored(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "texts")
 
 
+KEYS = ["group", "large", "owner", "piece"]
+
+
+class Part:
+    """The members of a part, their token union and the members that have each token."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes = np.array(ids, dtype=np.int64), np.array([len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.owners = np.repeat(np.arange(len(ids)), self.sizes)[order]
+        self.union, first = np.unique(tokens[order], return_index=True)
+        self.bounds = np.append(first, len(tokens))
+
+    def linked(self, number: int, query: np.ndarray, percent: int) -> np.ndarray:
+        """The members linked with a query."""
+        place = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
+        place = place[self.union[place] == query]
+        # A member that is linked shares so many tokens with the query, and they are all in the union.
+        if 100 * len(place) < percent * len(query) or not len(place):
+            return self.ids[:0]
+        begin, lengths = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(self.owners[at], minlength=len(self.ids))
+        fits = 100 * shared >= percent * (len(query) + self.sizes - shared)
+        return self.ids[fits & (self.ids != number)]
+
+
 def open_parts(texts: DataFrame, members: DataFrame, queries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between queries and members of their parts.
+    """Links (a, b) between queries and members of the parts they meet.
 
-    ``members`` has group, part and id, ``queries`` the same; the members of a
-    part are held in memory with the union of their tokens, queries stream by.
+    Both have ``KEYS`` and id. The members of a part are held in memory, queries
+    stream by; with many queries a part is held in several tasks. A query gives
+    one link for a part of one owner, else all of its links there.
     """
-    keys = ["group", "part"]
-    salts = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+    salts = queries.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
     salts = stored(salts, "salts")
     salted = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-    asked = queries.join(salts, keys).select(*keys, salted.alias("salt"), F.lit(1).alias("side"), "id")
+    asked = queries.join(salts, KEYS).select(*KEYS, salted.alias("salt"), F.lit(1).alias("side"), "id")
     every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    held = members.join(salts, keys).select(*keys, every.alias("salt"), F.lit(0).alias("side"), "id")
+    held = members.join(salts, KEYS).select(*KEYS, every.alias("salt"), F.lit(0).alias("side"), "id")
     rows = held.union(asked).join(texts, "id")
-    order = [*keys, "salt"]
+    order = [*KEYS, "salt"]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, union = None, [], [], None
+        key, ids, sets, part = None, [], [], None
         for batch in slices(batches):
-            found = []
+            found = [(np.zeros(0, dtype=np.int64),) * 2]
             tokens = shingle_sets(batch["text"].to_pylist())
             names = zip(*(batch[c].to_pylist() for c in (*order, "side", "id")))
             for (*own, side, number), query in zip(names, tokens):
                 if own != key:
-                    key, ids, sets, union = own, [], [], None
+                    key, ids, sets, part = own, [], [], None
                 if side == 0:
                     ids.append(number)
                     sets.append(query)
                     continue
                 if not sets:
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-                # A member that is linked shares so many tokens with the query, and they are all in the union.
-                if 100 * np.isin(query, union, assume_unique=True).sum() < percent * len(query):
-                    continue
-                for member, own_set in zip(ids, sets):
-                    if member != number and linked(query, own_set, percent):
-                        found.append((number, member))
-                        break
-            columns = list(zip(*found)) or [(), ()]
+                part = part or Part(ids, sets)
+                links = part.linked(number, query, percent)
+                links = links[:1] if own[1] else links
+                found.append((np.full(len(links), number), links))
+            columns = [np.concatenate(c) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     ordered = rows.repartition(*order).sortWithinPartitions(*order, "side", "id").select(*order, "side", "id", "text")
@@ -312,10 +339,35 @@ def _group_pairs(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["low", "high"])
 
 
-def _candidates(pairs: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """(small, large, parts of the large one) of the pairs whose set sizes allow a link."""
+def _parts(grouped: DataFrame) -> DataFrame:
+    """id, size, KEYS and owners: members of large components get parts of their owner, the others share parts."""
+    owned = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("own"))
+    sized = grouped.join(stored(owned, "owned"), ["group", "component"])
+    large = F.col("own") > PART
+    named = sized.select(
+        "id", "size", "group", "component", large.alias("large"), F.when(large, F.col("component")).otherwise(0).alias("owner")
+    )
+    counts = named.groupBy("group", "large", "owner").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("pieces"))
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece")
+    return named.join(stored(counts, "pieces"), ["group", "large", "owner"]).select("id", "size", "component", *KEYS[:3], piece)
+
+
+def _within(placed: DataFrame) -> DataFrame:
+    """Queries (KEYS and id) between the components of one group."""
+    mixed = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    inside = stored(placed.join(mixed.select("group"), "group", "left_semi").select("id", *KEYS), "inside")
+    pieces = stored(inside.select(*KEYS).distinct(), "targets").select("group", *(F.col(k).alias(f"to_{k}") for k in KEYS[1:]))
+    later = (
+        (~F.col("large") & (F.col("to_large") | (F.col("to_piece") >= F.col("piece"))))
+        | (F.col("large") & F.col("to_large") & (F.col("to_owner") > F.col("owner")))
+    )
+    return inside.join(pieces, "group").where(later).select("group", *(F.col(f"to_{k}").alias(k) for k in KEYS[1:]), "id")
+
+
+def _between(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Queries (KEYS and id) of the pairs of groups whose set sizes allow a link."""
     spans = stored(
-        grouped.groupBy("group").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("members")),
+        placed.groupBy("group").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("members")),
         "spans",
     )
 
@@ -326,24 +378,29 @@ def _candidates(pairs: DataFrame, grouped: DataFrame, percent: int) -> DataFrame
     low, high = F.col("low_span"), F.col("high_span")
     fits = (100 * low["most"] >= percent * high["least"]) & (100 * high["most"] >= percent * low["least"])
     first = low["members"] >= high["members"]
-    return both.where(fits).select(
+    chosen = both.where(fits).select(
         F.when(first, F.col("high")).otherwise(F.col("low")).alias("small"),
-        F.when(first, F.col("low")).otherwise(F.col("high")).alias("large"),
-        F.ceil(F.greatest(low["members"], high["members"]) / PART).cast("int").alias("parts"),
+        F.when(first, F.col("low")).otherwise(F.col("high")).alias("group"),
     )
+    asking = stored(chosen, "candidates").join(placed.select(F.col("group").alias("small"), "id"), "small").select("group", "id")
+    return asking.join(placed.select(*KEYS).distinct(), "group").select(*KEYS, "id")
 
 
 def set_links(docs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links between different sets that connect all that is connected, and the components they give."""
     pairs = stored(leader_pairs(classes), "pairs")
-    leaders = pairs.select(F.col("leader").alias("group"), F.lit(0).alias("part"), F.col("leader").alias("id")).distinct()
-    followers = pairs.select(F.col("leader").alias("group"), F.lit(0).alias("part"), "id")
+    part = [F.col("leader").alias("group"), F.lit(True).alias("large"), F.col("leader").alias("owner"), F.lit(0).alias("piece")]
+    leaders = pairs.select(*part, F.col("leader").alias("id")).distinct()
+    followers = pairs.select(*part, "id")
     texts = _texts_of(docs, leaders.select("id").union(followers.select("id")))
     near = open_parts(texts, leaders, followers, percent)
-    named = stored(components(near), "groups")
-    grouped = stored(
-        classes.join(named, "id", "left").select("id", "size", "content", F.coalesce("component", "id").alias("group")), "grouped"
+    alike = components(pairs.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "family")
+    first = stored(components(near), "first")
+    grouped = classes.join(stored(alike, "families"), "id", "left").join(first, "id", "left").select(
+        "id", "size", "content", F.coalesce("family", "id").alias("group"), F.coalesce("component", "id").alias("component")
     )
+    grouped = stored(grouped, "grouped")
+    placed = stored(_parts(grouped), "placed")
 
     buckets = max(32, sets.count() // DOCS_PER_BUCKET)
     bitmap = frequent_tokens(docs, buckets)
@@ -353,19 +410,14 @@ def set_links(docs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
         .groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("id")).alias("copy"), F.min("group").alias("group"))
     )
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    own = keyed.join(_small(stored(special, "special")), "doc_id", "left").where("copy is null or not copy")
+    own = keyed.join(bounded_broadcast(stored(special, "special")), "doc_id", "left").where("copy is null or not copy")
     met = meeting_groups(own.select(F.coalesce("group", "doc_id").alias("group"), "text"), bitmap, buckets, percent)
-    chosen = stored(_candidates(stored(met, "meeting"), grouped, percent), "candidates")
-
-    larges = chosen.select(F.col("large").alias("group"), "parts").distinct()
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    members = stored(grouped.select("id", "group").join(larges, "group").select("group", part, "id"), "members")
-    asking = grouped.select("id", F.col("group").alias("small")).join(chosen, "small")
-    queries = asking.select(F.col("large").alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id")
-    queries = stored(queries.distinct(), "queries")
+    between = _between(stored(met, "meeting"), placed, percent)
+    queries = stored(_within(placed).union(between), "queries")
+    members = placed.select(*KEYS, "id").join(queries.select(*KEYS).distinct(), KEYS, "left_semi")
+    members = stored(members, "members")
     texts = _texts_of(docs, members.select("id").union(queries.select("id")))
-    far = open_parts(texts, members, queries, percent)
-    links = stored(near.union(far), "links")
+    links = stored(near.union(open_parts(texts, members, queries, percent)), "links")
     return links, stored(components(links), "components")
 
 
