@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderloom.session import shared_folder
 
@@ -26,6 +27,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bounded_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most so many rows, the first by a hash of some columns, the same on every run.
+
+    A first filter on the hash leaves about twice as many, so that tasks do not
+    each send their own first rows to the driver.
+    """
+    share = min(1.0, 2 * most / max(1, df.count()))
+    place = F.xxhash64(*columns, F.lit(29))
+    low = df.where(place <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True))
+    return low.orderBy(place, *columns).limit(most)
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public vocabulary file of that name is installed."""
     import public_tokenizers

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orderloom.llm.common import slices, stored
+from orderloom.llm.common import bounded_sample, slices, stored
 from orderloom.llm.vectors import column, groups, matrix, proper_vectors
 
 FIT_ROWS = 20_000
@@ -108,8 +108,7 @@ class MultiIndex(NamedTuple):
 
 def fit_codebooks(vectors: DataFrame, total: int) -> Codebooks:
     """Fitted on ``FIT_ROWS`` rows, the first by a hash of their identifier."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").collect()
-    rows = np.array([row.vector for row in sample])
+    rows = matrix(bounded_sample(vectors, FIT_ROWS, "vec_id").select("vector").toArrow())
     cut = rows.shape[1] // 2
     k = int(np.clip(2 ** round(np.log2(max(1.0, total / CELL_ROWS)) / 2), 1, min(MOST_CENTROIDS, len(rows))))
     return Codebooks(kmeans(rows[:, :cut], k), kmeans(rows[:, cut:], k))
@@ -142,7 +141,7 @@ def build(vectors: DataFrame, total: int) -> MultiIndex:
 
 def _budget(index: MultiIndex, queries: DataFrame, k: int, total: int) -> int:
     """Rows to look at so that the walks of audited queries meet ``RECALL`` of the true neighbours."""
-    audited = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(AUDITED).collect()
+    audited = bounded_sample(queries, AUDITED, "vec_id").collect()
     if not audited:
         return total
     ids, wanted = np.array([r.vec_id for r in audited]), np.array([r.vector for r in audited])

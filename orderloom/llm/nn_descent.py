@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import slices, stored
+from orderloom.llm.common import bounded_sample, slices, stored
 from orderloom.llm.components import components
 from orderloom.llm.vectors import column, groups, matrix, proper_vectors, unit
 
@@ -144,7 +144,7 @@ def refine(nodes: DataFrame, lists: DataFrame, width: int) -> DataFrame:
 
 def audit(nodes: DataFrame, lists: DataFrame, threshold: float = THRESHOLD) -> tuple[float, int]:
     """Recall of links over some nodes, by a hash of their identifier, and the number of true links."""
-    asked = nodes.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(AUDITED).select("vec_id", "vector").collect()
+    asked = bounded_sample(nodes.select("vec_id", "vector"), AUDITED, "vec_id").collect()
     ids, wanted = np.array([r.vec_id for r in asked]), unit(np.array([r.vector for r in asked]))
 
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import slices
+from orderloom.llm.common import bounded_sample, slices
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -265,8 +265,7 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 def fit_field(docs: DataFrame, sample: int = SAMPLE_DOCS) -> SkipChainField:
     """Fit on so many documents, the first by a hash of their text, that hold a digit or an at sign."""
     some = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    ordered = some.orderBy(F.xxhash64("text"), "text").limit(sample)
-    return SkipChainField.fit([row.text for row in ordered.collect()])
+    return SkipChainField.fit([row.text for row in bounded_sample(some, sample, "text").collect()])
 
 
 _SPAN_LIST = "array<struct<kind:string,start:int,end:int>>"

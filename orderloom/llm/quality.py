@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import Bounded
+from orderloom.llm.common import bounded_sample
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
@@ -170,7 +171,7 @@ def held_out(doc_id: Column) -> Column:
 def fit_on_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> QualityModel:
     """Fit on so many labelled documents, the first by a hash of their id; held-out rows are left out."""
     own = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    chosen = bounded_sample(own, most, "doc_id", "quality")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(
         F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS
     )
