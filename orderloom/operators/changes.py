@@ -19,34 +19,47 @@ ORDER = ("ts", "seq")
 
 
 class Applied(NamedTuple):
-    """A new snapshot and the changes whose key it does not hold."""
+    """A new snapshot and the changes that found no place in it."""
 
     snapshot: DataFrame
     rejects: DataFrame
 
 
 def _sequence(changes: DataFrame) -> Column:
-    return F.struct(*(c for c in ORDER if c in changes.columns))
+    """Place of a change among those of its key; the whole row decides between equals, the same in every retry."""
+    return F.struct(*(c for c in ORDER if c in changes.columns), F.struct(*changes.columns))
 
 
 def latest(changes: DataFrame, key: str) -> DataFrame:
-    """The last change of each key; reduced before the shuffle."""
+    """The last change of each key; reduced before the shuffle. Rows without a key are left out."""
     row = F.struct(*changes.columns)
     return (
-        changes.groupBy(key)
+        changes.where(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(F.max_by(row, _sequence(changes)).alias("last"))
         .select("last.*")
     )
 
 
 def _rejects(changes: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
-    return changes.join(snapshot.select(key), key, "left_anti")
+    """Changes without a key or with one that the snapshot does not hold.
+
+    The snapshot's keys are first cut to those of the changes, so that a small
+    change set is broadcast and the snapshot stays where it is.
+    """
+    known = snapshot.select(key).join(changes.select(key).distinct(), key, "left_semi")
+    return changes.join(known, key, "left_anti").select(*changes.columns)
 
 
-def upsert(snapshot: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Insert rows, or replace whole rows where the key exists, nulls included."""
+def upsert(snapshot: DataFrame, changes: DataFrame, key: str = "id") -> Applied:
+    """Insert rows, or replace whole rows where the key exists, nulls included.
+
+    Changes without a key are rejected, every one of them; ``insert_with_ids``
+    inserts them.
+    """
     rows = latest(changes, key).select(*snapshot.columns)
-    return snapshot.join(rows.select(key), key, "left_anti").select(*snapshot.columns).unionByName(rows)
+    kept = snapshot.join(rows.select(key), key, "left_anti").select(*snapshot.columns)
+    return Applied(kept.unionByName(rows), changes.where(F.col(key).isNull()))
 
 
 def insert_with_ids(snapshot: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -55,18 +68,20 @@ def insert_with_ids(snapshot: DataFrame, changes: DataFrame, key: str = "id") ->
     A retried task would draw other ids, so write the result once and read it
     from there.
     """
-    missing = changes.where(F.col(key).isNull()).withColumn(key, F.uuid())
-    known = upsert(snapshot, changes.where(F.col(key).isNotNull()), key)
-    return known.unionByName(missing.select(*snapshot.columns))
+    known = upsert(snapshot, changes, key)
+    return known.snapshot.unionByName(known.rejects.withColumn(key, F.uuid()).select(*snapshot.columns))
 
 
 def update_users(snapshot: DataFrame, changes: DataFrame) -> Applied:
     """Overwrite e-mail and name, the password only where one is given; touch ``updated_at``.
 
     An earlier password stays if a later change of the same user has none.
+    Changes without a time come before all others of their user, and where no
+    change has one, ``updated_at`` stays as it is.
     """
     at = _sequence(changes)
     reduced = changes.groupBy("id").agg(
+        F.lit(True).alias("changed"),
         F.max_by("email", at).alias("new_email"),
         F.max_by("name", at).alias("new_name"),
         F.max_by(
@@ -74,11 +89,10 @@ def update_users(snapshot: DataFrame, changes: DataFrame) -> Applied:
         ).alias("new_password"),
         F.max("ts").alias("changed_at"),
     )
-    changed = F.col("changed_at").isNotNull()
     merged = snapshot.join(reduced, "id", "left")
     values = {
-        "email": F.when(changed, F.col("new_email")).otherwise(F.col("email")),
-        "name": F.when(changed, F.col("new_name")).otherwise(F.col("name")),
+        "email": F.when(F.col("changed"), F.col("new_email")).otherwise(F.col("email")),
+        "name": F.when(F.col("changed"), F.col("new_name")).otherwise(F.col("name")),
         "password": F.coalesce("new_password", "password"),
         "updated_at": F.coalesce("changed_at", "updated_at"),
     }

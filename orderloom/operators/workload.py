@@ -35,14 +35,14 @@ def _instant(value: datetime | str) -> Column:
 
 def most_frequent(log: DataFrame, top: int = 20) -> DataFrame:
     kept = log.select("query_id", "query", "calls", "total_time", "mean_time", "max_time", "rows")
-    return top_rows(kept, top, F.col("calls").desc(), F.col("query_id"))
+    return top_rows(kept, top, F.col("calls").desc_nulls_first(), F.col("query_id"))
 
 
 def slowest(log: DataFrame, *, min_calls: int = 10, top: int = 20) -> DataFrame:
     kept = log.where(F.col("calls") > min_calls).select(
         "query_id", "query", "calls", "total_time", "mean_time", "max_time", "min_time", "stddev_time"
     )
-    return top_rows(kept, top, F.col("mean_time").desc(), F.col("query_id"))
+    return top_rows(kept, top, F.col("mean_time").desc_nulls_first(), F.col("query_id"))
 
 
 def heaviest(log: DataFrame, top: int = 20) -> DataFrame:
@@ -55,7 +55,7 @@ def heaviest(log: DataFrame, top: int = 20) -> DataFrame:
         (F.col("total_time") / 1000 / 60).alias("total_minutes"),
         "rows",
     )
-    return top_rows(kept, top, F.col("total_time").desc(), F.col("query_id"))
+    return top_rows(kept, top, F.col("total_time").desc_nulls_first(), F.col("query_id"))
 
 
 def performance_trend(log: DataFrame, *, min_calls: int = 5) -> DataFrame:
@@ -78,7 +78,7 @@ def active_sessions(
     timed = kept.withColumn("duration", seconds_between(F.col("query_start"), _instant(now)))
     if min_seconds:
         timed = timed.where(F.col("duration") > min_seconds)
-    return timed.orderBy(F.col("duration").desc(), "pid")
+    return timed.orderBy(F.col("duration").desc_nulls_first(), "pid")
 
 
 def long_running_sessions(
@@ -177,7 +177,7 @@ def impact_ranking(log: DataFrame, *, min_calls: int = 10) -> DataFrame:
             .otherwise("LOW")
             .alias("optimization_priority"),
         )
-        .orderBy(F.col("impact_score").desc(), "queryid")
+        .orderBy(F.col("impact_score").desc_nulls_first(), "queryid")
     )
 
 

@@ -75,7 +75,7 @@ def monthly_category_revenue(
             change.alias("revenue_change"),
             F.when(previous > 0, percent(change, previous)).alias("revenue_growth_rate"),
         )
-        .orderBy(F.col("month").desc(), F.col("total_revenue").desc(), "category_name")
+        .orderBy(F.col("month").desc(), F.col("total_revenue").desc_nulls_first(), "category_name")
     )
 
 

@@ -21,7 +21,7 @@ _ORDER_ROWS_SPARK = """
            cast(l_extendedprice as decimal(12,2)) as total_amount, l_shipdate as created_at,
            l_shipdate as ts,
            (l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) as seq
-    from {lineitem} where l_quantity >= 48"""
+    from {lineitem}"""
 _ORDER_ROWS = ("changed", _ORDER_ROWS_SPARK.replace("{lineitem}", "lineitem"))
 
 
@@ -35,7 +35,7 @@ _LAST = (
 )
 add(
     "m01_upsert_orders",
-    lambda t: changes.upsert(t.v_orders, _order_rows(t)),
+    lambda t: changes.upsert(t.v_orders, _order_rows(t)).snapshot,
     """select id, user_id, status, total_amount, created_at from last_change
        union all
        select o.id, o.user_id, o.status, o.total_amount, o.created_at from v_orders o
@@ -44,13 +44,45 @@ add(
     named=(_ORDER_ROWS, _LAST),
 )
 
+# Every third line of an order has lost its key.
+_KEYLESS = F.when(F.col("seq") % 3 != 0, F.col("id")).alias("id")
+
+
+def _upserted_with_rejects(t):
+    found = changes.upsert(t.v_orders, _order_rows(t).withColumn("id", _KEYLESS))
+    columns = [c for c in found.snapshot.columns if c != "id"]
+    return found.snapshot.select(F.lit("row").alias("outcome"), "id", *columns).unionByName(
+        found.rejects.select(F.lit("reject").alias("outcome"), "id", *columns)
+    )
+
+
+add(
+    "m01_upsert_null_keys",
+    _upserted_with_rejects,
+    """select 'row' as outcome, id, user_id, status, total_amount, created_at from last_change where id is not null
+       union all
+       select 'row', o.id, o.user_id, o.status, o.total_amount, o.created_at from v_orders o
+       where not exists (select 1 from keyless k where k.id = o.id)
+       union all
+       select 'reject', id, user_id, status, total_amount, created_at from keyless where id is null""",
+    doubles="total_amount",
+    named=(
+        _ORDER_ROWS,
+        ("keyless", "select * replace (case when seq % 3 <> 0 then id end as id) from changed"),
+        (
+            "last_change",
+            "select * from keyless qualify row_number() over (partition by id order by ts desc, seq desc) = 1",
+        ),
+    ),
+)
+
 _USER_ROWS_SPARK = """
     select o_custkey + case when o_orderpriority = '1-URGENT' then 1000000000 else 0 end as id,
            concat('new', cast(o_orderkey as string), '@example.com') as email,
            concat('Name ', cast(o_orderkey as string)) as name,
            case when o_orderstatus = 'F' then concat('pw', cast(o_orderkey as string)) end as password,
-           o_orderdate as ts, o_orderkey as seq
-    from {orders} where o_totalprice >= 300000"""
+           case when o_orderpriority <> '3-MEDIUM' then o_orderdate end as ts, o_orderkey as seq
+    from {orders}"""
 _USERS_SPARK = """
     select id, name, email, 'initial' as password, registration_date as created_at,
            registration_date as updated_at
@@ -70,9 +102,13 @@ _USER_NAMED = (
     ("changed", _USER_ROWS_SPARK.replace("{orders}", "orders")),
     (
         "reduced",
-        """select id, max_by(email, (ts, seq)) as email, max_by(name, (ts, seq)) as name,
-                  max_by(password, (ts, seq)) filter (password is not null) as password, max(ts) as ts
-           from changed group by id""",
+        """select l.id, l.email, l.name, p.password, t.ts
+           from (select * from changed
+                 qualify row_number() over (partition by id order by ts desc nulls last, seq desc) = 1) l
+           join (select id, max(ts) as ts from changed group by id) t on t.id = l.id
+           left join (select id, password from changed where password is not null
+                      qualify row_number() over (partition by id order by ts desc nulls last, seq desc) = 1) p
+             on p.id = l.id""",
     ),
 )
 add(
@@ -102,7 +138,7 @@ _PRODUCT_ROWS_SPARK = """
            cast(l_extendedprice as decimal(18,2)) as price, cast(l_quantity as int) as stock,
            l_returnflag as category, l_shipdate as ts,
            (l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) as seq
-    from {lineitem} where l_quantity >= 40"""
+    from {lineitem}"""
 
 
 def _catalogue(t):
@@ -128,7 +164,7 @@ _STATUS_SPARK = """
     select l_orderkey + case when l_linenumber = 7 then 1000000000 else 0 end as id,
            case when l_returnflag = 'R' then 'RETURNED' else 'SHIPPED' end as status, l_shipdate as ts,
            (l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) as seq
-    from {lineitem} where l_quantity >= 45"""
+    from {lineitem}"""
 _STATUS = ("changed", _STATUS_SPARK.replace("{lineitem}", "lineitem"))
 
 

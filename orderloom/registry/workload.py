@@ -15,21 +15,21 @@ add(
     "w01_most_frequent",
     lambda t: workload.most_frequent(t.v_query_log),
     """select query_id, query, calls, total_time, mean_time, max_time, rows from v_query_log
-       order by calls desc, query_id limit 20""",
+       order by calls desc nulls first, query_id limit 20""",
     doubles="total_time mean_time max_time",
 )
 add(
     "w02_slowest",
     lambda t: workload.slowest(t.v_query_log, min_calls=2),
     """select query_id, query, calls, total_time, mean_time, max_time, min_time, stddev_time
-       from v_query_log where calls > 2 order by mean_time desc, query_id limit 20""",
+       from v_query_log where calls > 2 order by mean_time desc nulls first, query_id limit 20""",
     doubles="total_time mean_time max_time min_time stddev_time",
 )
 add(
     "w03_heaviest",
     lambda t: workload.heaviest(t.v_query_log),
     """select query_id, query, calls, total_time, mean_time, total_time / 1000 / 60 as total_minutes, rows
-       from v_query_log order by total_time desc, query_id limit 20""",
+       from v_query_log order by total_time desc nulls first, query_id limit 20""",
     doubles="total_time mean_time total_minutes",
 )
 add(

@@ -59,7 +59,28 @@ def test_upsert_writes_nulls_and_inserts(spark, rows):
     change = spark.createDataFrame(
         [(1, "x", 1), (1, None, 2), (3, "c", 1)], "id bigint, v string, seq bigint"
     )
-    assert rows(changes.upsert(snapshot, change)) == [(1, None), (2, "b"), (3, "c")]
+    assert rows(changes.upsert(snapshot, change).snapshot) == [(1, None), (2, "b"), (3, "c")]
+
+
+def test_user_update_without_time_applies_as_a_whole(spark):
+    snapshot = spark.createDataFrame([(1, "a@x", "A", "p1", START, START)], SNAPSHOT)
+    change = spark.createDataFrame([(1, "c@x", "C", "new", None, None)], CHANGE)
+    row = changes.update_users(snapshot, change).snapshot.first()
+    assert (row.email, row.name, row.password, row.updated_at) == ("c@x", "C", "new", START)
+
+
+def test_upsert_rejects_every_row_without_key(spark, rows):
+    snapshot = spark.createDataFrame([(1, "a")], "id bigint, v string")
+    change = spark.createDataFrame([(None, "x", 1), (None, "y", 2), (1, "z", 3)], "id bigint, v string, seq bigint")
+    result = changes.upsert(snapshot, change)
+    assert rows(result.snapshot) == [(1, "z")]
+    assert rows(result.rejects, "v") == [("x",), ("y",)]
+
+
+def test_equal_places_are_decided_by_the_row(spark, rows):
+    change = spark.createDataFrame([(1, "b", 1), (1, "c", 1), (1, "a", 1)], "id bigint, v string, seq bigint")
+    for parts in (1, 3):
+        assert rows(changes.latest(change.repartition(parts), "id"), "v") == [("c",)]
 
 
 def test_insert_draws_missing_ids(spark):
