@@ -63,8 +63,11 @@ _MESSAGES = (
 )
 
 
-def raw_events(t: CanonicalTables) -> DataFrame:
-    """Event texts: some cut short, without user, of another type, or encoded twice."""
+def raw_events(t: CanonicalTables, disturbed: bool = False) -> DataFrame:
+    """Event texts: some cut short, without user, of another type, or encoded twice.
+
+    If ``disturbed``, some come without a time as well, and others twice.
+    """
     order = F.col("orderId")
     prepared = clean_events(t).withColumns(
         {
@@ -72,6 +75,10 @@ def raw_events(t: CanonicalTables) -> DataFrame:
             "eventType": F.when(order % 79 == 0, "ORDER_VIEWED").otherwise(F.col("eventType")),
         }
     )
+    if disturbed:
+        again = (order % 67 == 0) & (order % 97 > 0) & (order % 89 > 0) & (order % 71 > 0)
+        prepared = prepared.withColumn("timestamp", F.when(order % 71 > 0, F.col("timestamp")))
+        prepared = prepared.unionByName(prepared.where(again))
     fields = [F.col(f.name) for f in ev.EVENT_SCHEMA.fields]
     text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     twice = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -81,9 +88,11 @@ def raw_events(t: CanonicalTables) -> DataFrame:
     )
 
 
-def _event_files(t: CanonicalTables) -> str:
+def _event_files(t: CanonicalTables, disturbed: bool = False, files: int | None = None) -> str:
+    """A folder of event texts; ``files`` spreads the events of every recipient over so many."""
     folder = shared_folder(t.spark, "events")
-    raw_events(t).write.text(folder)
+    raw = raw_events(t, disturbed)
+    (raw if files is None else raw.repartition(files, F.md5("value"))).write.text(folder)
     return folder
 
 
@@ -108,14 +117,45 @@ def _finish(stream: DataFrame, purpose: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def _notified(t: CanonicalTables, table: str) -> DataFrame:
+def _notified(t: CanonicalTables, *tables: str):
     folder = shared_folder(t.spark, "notified")
     paths = {name: f"{folder}/{name}" for name in ("queue", "history", "rejects")}
-    query = notifications.start_notifier(
-        _stream(t), checkpoint=f"{folder}/checkpoint", available_now=True, **paths
-    )
+    stream = ev.file_stream(t.spark, _event_files(t, disturbed=True))
+    query = notifications.start_notifier(stream, checkpoint=f"{folder}/checkpoint", available_now=True, **paths)
     query.awaitTermination()
-    return t.spark.read.parquet(paths[table]).drop("batch")
+    tables = [t.spark.read.parquet(paths[name]).drop("batch") for name in tables]
+    return tables[0] if len(tables) == 1 else tables
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    """Times, but for events that had none of their own and got that of their file."""
+    own = F.col("orderId") % 71 > 0
+    return df.withColumns({c: F.when(own, F.col(c)) for c in ("createdAt", "sentAt") if c in df.columns})
+
+
+def _times_agree(t: CanonicalTables) -> DataFrame:
+    """Per event: whether queue and history have the same time, and whether there is one."""
+    queue, sent = _notified(t, "queue", "history")
+    both = queue.select("orderId", "eventType", "createdAt").join(
+        sent.select("orderId", "eventType", F.col("createdAt").alias("stored"), "sentAt"), ["orderId", "eventType"]
+    )
+    same = (F.col("createdAt") == F.col("stored")) & (F.col("createdAt") == F.col("sentAt"))
+    return both.select("orderId", "eventType", F.coalesce(same, F.lit(False)).alias("agree"))
+
+
+def _history(t: CanonicalTables, files: int | None = None) -> DataFrame:
+    """The pushes of the history log; with ``files``, over as many batches."""
+    folder = shared_folder(t.spark, "history")
+    stream = ev.file_stream(t.spark, _event_files(t, files=files), None if files is None else 1)
+    paths = {name: f"{folder}/{name}" for name in ("pushes", "days")}
+    sent = notifications.delivered(notifications.order_notifications(stream))
+    history.start_history(sent, checkpoint=f"{folder}/checkpoint", available_now=True, **paths).awaitTermination()
+    pushes, days = (t.spark.read.parquet(path).drop("batch") for path in paths.values())
+    return (
+        history.history_log(pushes, days)
+        .where(F.col("op") == history.PUSH)
+        .select("recipient", "list_start", "seq", "sentAt", "orderId", "eventType", "message", "expires_at")
+    )
 
 
 def _sent(t: CanonicalTables) -> DataFrame:
@@ -129,20 +169,48 @@ def _delivered(t: CanonicalTables) -> DataFrame:
     return notifications.delivered(_pending(t))
 
 
-add(
-    "s03_event_stream",
-    lambda t: _finish(_stream(t), "values").select(F.length("value").alias("length"), F.md5("value").alias("md5")),
-)
-add(
-    "s04_order_event_sink",
-    lambda t: ev.encode(clean_events(t)).select(F.from_json("value", ev.EVENT_SCHEMA).alias("e")).select(
+def _fields(values: DataFrame) -> DataFrame:
+    return values.select(F.from_json("value", ev.EVENT_SCHEMA).alias("e")).select(
         F.col("e.eventType").alias("event_type"),
         F.col("e.orderId").alias("id"),
         F.col("e.userId").alias("user_id"),
         F.col("e.status").alias("status"),
         F.col("e.totalAmount").alias("total_amount"),
         F.col("e.timestamp").cast("timestamp_ntz").alias("event_time"),
-    ),
+    )
+
+
+def _published(t: CanonicalTables) -> str:
+    folder = shared_folder(t.spark, "topic")
+    ev.write_events(clean_events(t), folder)
+    return folder
+
+
+def _republished(t: CanonicalTables) -> DataFrame:
+    """Events written as a batch, read as a stream, and written again by the stream."""
+    folder = shared_folder(t.spark, "again")
+    stream = ev.accepted(ev.decode(ev.file_stream(t.spark, _published(t))))
+    ev.write_events(stream, f"{folder}/events", checkpoint=f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.text(f"{folder}/events")
+
+
+add(
+    "s03_event_stream",
+    lambda t: _fields(_finish(ev.file_stream(t.spark, _published(t)), "values")),
+    "select * from all_events",
+    doubles="total_amount",
+    named=(_EVENTS,),
+)
+add(
+    "s04_order_event_sink",
+    lambda t: _fields(t.spark.read.text(_published(t))),
+    "select * from all_events",
+    doubles="total_amount",
+    named=(_EVENTS,),
+)
+add(
+    "s04_order_event_stream_sink",
+    lambda t: _fields(_republished(t)),
     "select * from all_events",
     doubles="total_amount",
     named=(_EVENTS,),
@@ -175,6 +243,13 @@ add(
     named=(_EVENTS, _GOOD, _MESSAGES),
 )
 _COMMON = 'recipient, \'ORDER\' as type, subject, message, email, "orderId", "eventType"'
+_TIME = 'case when "orderId" % 71 > 0 then event_time end'
+add(
+    "s06_times_agree",
+    _times_agree,
+    'select "orderId", "eventType", true as agree from messages',
+    named=(_EVENTS, _GOOD, _MESSAGES),
+)
 add(
     "st03_notifications",
     lambda t: _pending(t).drop("id", "sentAt"),
@@ -183,17 +258,17 @@ add(
 )
 add(
     "s05_notification_queue",
-    lambda t: _notified(t, "queue").drop("id", "sentAt"),
-    f'select {_COMMON}, \'PENDING\' as status, event_time as "createdAt" from messages',
+    lambda t: _timed(_notified(t, "queue").drop("id", "sentAt")),
+    f'select {_COMMON}, \'PENDING\' as status, {_TIME} as "createdAt" from messages',
     named=(_EVENTS, _GOOD, _MESSAGES),
 )
 for _name in ("s06_notification_history", "st06_delivery_status"):
     add(
         _name,
-        (lambda t: _notified(t, "history").drop("id"))
+        (lambda t: _timed(_notified(t, "history").drop("id")))
         if _name.startswith("s06")
-        else (lambda t: _delivered(t).drop("id")),
-        f'select {_COMMON}, \'SENT\' as status, event_time as "createdAt", event_time as "sentAt" from messages',
+        else (lambda t: _timed(_delivered(t).drop("id"))),
+        f'select {_COMMON}, \'SENT\' as status, {_TIME} as "createdAt", {_TIME} as "sentAt" from messages',
         named=(_EVENTS, _GOOD, _MESSAGES),
     )
 _LISTS = (
@@ -207,23 +282,14 @@ _LISTS = (
                              true) as fresh
           from messages) gaps""",
 )
-add(
-    "st04_history_state",
-    lambda t: _finish(
-        history.history_log(
-            notifications.delivered(notifications.order_notifications(_stream(t)))
-        ),
-        "log",
-    )
-    .where(F.col("op") == history.PUSH)
-    .select("recipient", "list_start", "seq", "sentAt", "orderId", "eventType", "message", "expires_at"),
-    """select recipient, list_start,
+_LISTED_SQL = """select recipient, list_start,
               row_number() over (partition by recipient, list_start
                                  order by event_time, "orderId", "eventType") as seq,
               event_time as "sentAt", "orderId", "eventType", message, event_time + interval 30 days as expires_at
-       from listed""",
-    named=(_EVENTS, _GOOD, _MESSAGES, _LISTS),
-)
+       from listed"""
+_NAMED = (_EVENTS, _GOOD, _MESSAGES, _LISTS)
+add("st04_history_state", _history, _LISTED_SQL, named=_NAMED)
+add("st04_history_state_many_batches", lambda t: _history(t, files=6), _LISTED_SQL, named=_NAMED)
 add(
     "st05_history_query",
     lambda t: notifications.notification_history(_sent(t), now=_now()).select(

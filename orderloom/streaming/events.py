@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,23 +66,43 @@ def topic_stream(spark: SparkSession, servers: str, topic: str = TOPIC, **option
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
     )
-    return reader.options(**options).load().select(F.col("value").cast("string").alias("value"))
+    records = reader.options(**options).load()
+    return records.select(F.col("value").cast("string").alias("value"), F.col("timestamp").cast("timestamp_ntz").alias("received"))
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Order events from text files with one event per line."""
+    """Order events from text files with one event per line; ``received`` is the time of the file."""
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    return reader.load(path)
+    return reader.load(path).select("value", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received"))
+
+
+def write_events(events: DataFrame, target: str, *, servers: str | None = None, checkpoint: str | None = None):
+    """Publish event rows as JSON texts, to a folder of text files or, with ``servers``, to the topic ``target``.
+
+    A batch is written at once; a stream needs a checkpoint, takes what is there
+    and gives its query back. The topic needs the Kafka connector.
+    """
+    texts = encode(events)
+    writer = texts.writeStream if texts.isStreaming else texts.write
+    if servers is not None:
+        writer = writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", target)
+    else:
+        writer = writer.format("text").option("path", target)
+    if texts.isStreaming:
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return writer.mode("append").save()
 
 
 def decode(raw: DataFrame) -> DataFrame:
     """Parse ``value`` into a struct ``event`` and flag it as ``valid``.
 
     Accepts an object as well as a JSON string that holds one. An event without
-    a numeric user is not valid, whatever its type.
+    a numeric user is not valid, whatever its type. ``received``, the time of
+    the record, is kept where the source gives one.
     """
+    received = F.col("received") if "received" in raw.columns else F.lit(None).cast("timestamp_ntz").alias("received")
     text = F.trim("value")
     inner = F.when(
         text.startswith('"'),
@@ -90,19 +110,24 @@ def decode(raw: DataFrame) -> DataFrame:
     ).otherwise(text)
     parsed = F.when(F.trim("inner").startswith("{"), F.from_json("inner", EVENT_SCHEMA))
     return (
-        raw.select("value", inner.alias("inner"))
-        .select("value", parsed.alias("event"))
-        .select("value", "event", F.col("event.userId").isNotNull().alias("valid"))
+        raw.select("value", received, inner.alias("inner"))
+        .select("value", "received", parsed.alias("event"))
+        .select("value", "received", "event", F.col("event.userId").isNotNull().alias("valid"))
     )
 
 
+def event_time() -> Column:
+    """Time of a decoded event: its own, else that of its record, else, without either, that of the batch."""
+    own = F.col("event.timestamp").try_cast("timestamp_ntz")
+    return F.coalesce(own, F.col("received"), F.localtimestamp())
+
+
 def accepted(decoded: DataFrame) -> DataFrame:
-    """Valid events with ``event_time``; an event without a time gets that of its batch."""
+    """Valid events with ``event_time``."""
     # Taken out of an array: a plain filter would be moved below the parsing and
     # parse every text again.
-    valid = decoded.select(F.inline(F.when(F.col("valid"), F.array("event"))))
-    time = F.coalesce(F.col("timestamp").try_cast("timestamp_ntz"), F.localtimestamp())
-    return valid.withColumn("event_time", time)
+    timed = F.struct("event.*", event_time().alias("event_time"))
+    return decoded.select(F.inline(F.when(F.col("valid"), F.array(timed))))
 
 
 def rejected(decoded: DataFrame) -> DataFrame:

@@ -1,95 +1,99 @@
-"""Per-recipient notification lists as keyed streaming state.
+"""Per-recipient notification lists from a stream of sent notifications.
 
-The state of a recipient is small and of fixed size: when its list began, when
-it was last pushed to and how long it is. The entries themselves go to the
-output, as a log of pushes and expiries that names the list they belong to.
+A batch of the stream is only appended: its pushes, and per recipient and day
+the first push, the last one and their number. Day rows of several batches add
+up by minimum, maximum and sum, so lists follow from the pushes alone, however
+they were cut into batches and in whatever order they came.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from orderloom.operators.ordered import running_totals
 from orderloom.streaming.notifications import TTL_DAYS
 
 PUSH = "PUSH"
 EXPIRE = "EXPIRE"
 
-_STATE = "list_start BIGINT, last_push BIGINT, length BIGINT"
 _CARRIED = ["orderId", "eventType", "subject", "message"]
-# Times are microseconds since 1970 here and become timestamps afterwards.
-_LOG = (
-    "recipient STRING, op STRING, list_start BIGINT, seq BIGINT, pushed BIGINT, expires_at BIGINT, "
-    "orderId BIGINT, eventType STRING, subject STRING, message STRING"
-)
+_PUSHES = ["recipient", "sentAt", *_CARRIED]
 
 
-def history_log(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "30 days") -> DataFrame:
-    """A log of list pushes and expiries from a stream of sent notifications.
+def day_rows(pushes: DataFrame) -> DataFrame:
+    """First and last push and their number, per recipient and day."""
+    return pushes.groupBy("recipient", F.to_date("sentAt").alias("day")).agg(
+        F.min("sentAt").alias("first"), F.max("sentAt").alias("last"), F.count(F.lit(1)).alias("pushed")
+    )
 
-    Each push moves the end of its list to one lifetime after it. A list ends
-    when a later push finds it too old or, without one, when the watermark has
-    passed its end. The current history of a recipient is made of the pushes to
-    its newest list, unless that has an expiry. Memory per key is bounded by the
-    rows of one key in one batch, which the source limits per trigger.
-    """
-    # Plain values only, so that the executors need nothing of this package.
-    lifetime = ttl_days * 86_400_000_000
-    columns = [part.split()[0] for part in _LOG.split(", ")]
-    carried, push, expire = list(_CARRIED), PUSH, EXPIRE
-
-    def step(
-        key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        recipient = key[0]
-        if state.hasTimedOut:
-            start, last, length = state.get
-            state.remove()
-            end = last + lifetime
-            ended = [(recipient, expire, start, length, end, end, None, None, None, None)]
-            yield pd.DataFrame(ended, columns=columns)
-            return
-
-        start, last, length = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(chunks))[["pushed", *carried]].sort_values(
-            ["pushed", "orderId", "eventType"], kind="stable"
-        )
-        log = []
-        for at, *entry in rows.itertuples(index=False, name=None):
-            if last is not None and at - last > lifetime:
-                end = last + lifetime
-                log.append((recipient, expire, start, length, end, end, None, None, None, None))
-                start = None
-            if start is None:
-                start, last, length = at, at, 0
-            last = max(last, at)
-            length += 1
-            log.append((recipient, push, start, length, at, last + lifetime, *entry))
-        state.update((start, last, length))
-        state.setTimeoutTimestamp((last + lifetime) // 1000 + 1)
-        yield pd.DataFrame(log, columns=columns)
-
-    sent_at = F.col("sentAt").cast("timestamp")
-    log = (
-        sent.select("recipient", sent_at.alias("mark"), F.unix_micros(sent_at).alias("pushed"), *_CARRIED)
-        .withWatermark("mark", lateness)
-        .groupBy("recipient")
-        .applyInPandasWithState(step, _LOG, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def merged_days(days: DataFrame) -> DataFrame:
+    """Day rows of all batches as one row per recipient and day."""
+    return days.groupBy("recipient", "day").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("pushed").alias("pushed")
     )
 
-    def time(name: str) -> Column:
-        return F.timestamp_micros(name).cast("timestamp_ntz")
-
-    return log.select(
-        "recipient",
-        "op",
-        time("list_start").alias("list_start"),
-        "seq",
-        time("pushed").alias("sentAt"),
-        time("expires_at").alias("expires_at"),
-        *_CARRIED,
+
+def start_history(
+    sent: DataFrame, *, pushes: str, days: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append the pushes and the day rows of a stream; a replayed batch replaces what it wrote before."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{pushes}/batch={batch_id}"
+        batch.select(*_PUSHES).write.mode("overwrite").parquet(folder)
+        written = batch.sparkSession.read.schema(batch.select(*_PUSHES).schema).parquet(folder)
+        day_rows(written).write.mode("overwrite").parquet(f"{days}/batch={batch_id}")
+
+    writer = sent.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def list_days(days: DataFrame, *, ttl_days: int = TTL_DAYS) -> DataFrame:
+    """Day rows with the start of the list that they belong to.
+
+    A list ends as a whole after a lifetime without pushes. Such a gap lies
+    between two days, so recipients are looked at by days, not by pushes.
+    """
+    daily = merged_days(days).withColumn("before", F.expr("lag(last) over (partition by recipient order by day)"))
+    gap = F.timestamp_diff("MICROSECOND", F.col("before"), F.col("first"))
+    fresh = F.when(F.col("before").isNull() | (gap > ttl_days * 86_400_000_000), F.col("first"))
+    upto = "over (partition by recipient order by day rows unbounded preceding)"
+    return daily.withColumn("fresh", fresh).withColumn("list_start", F.expr(f"max(fresh) {upto}")).drop("before", "fresh")
+
+
+def history_log(
+    pushes: DataFrame, days: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "30 days"
+) -> DataFrame:
+    """Pushes with their list, their place in it and its end as of them, and the ends of closed lists.
+
+    A list is closed once the newest push of all is later than its end by more
+    than the lateness; until then a late push may still join it.
+    """
+    lifetime = F.make_interval(days=F.lit(ttl_days))
+    listed = list_days(days, ttl_days=ttl_days)
+    placed = pushes.withColumn("day", F.to_date("sentAt")).join(
+        listed.select("recipient", "day", "list_start"), ["recipient", "day"]
+    )
+    numbered = running_totals(
+        placed,
+        ["recipient", "list_start"],
+        F.unix_date("day"),
+        ["sentAt", "orderId", "eventType"],
+        {"seq": F.lit(1)},
+    )
+    columns = ["recipient", "op", "list_start", "seq", "sentAt", "expires_at", *_CARRIED]
+    log = numbered.withColumns({"op": F.lit(PUSH), "expires_at": F.col("sentAt") + lifetime})
+    newest: Column = listed.agg(F.max("last").alias("newest")).select("newest").scalar()
+    ended = (
+        listed.groupBy("recipient", "list_start")
+        .agg((F.max("last") + lifetime).alias("expires_at"), F.sum("pushed").alias("seq"))
+        .where(F.col("expires_at") + F.expr(f"interval {lateness}") < newest)
+        .withColumns({"op": F.lit(EXPIRE), "sentAt": F.col("expires_at")})
     )
+    empty = {c: F.lit(None).cast(pushes.schema[c].dataType) for c in _CARRIED}
+    return log.select(*columns).unionByName(ended.withColumns(empty).select(*columns))

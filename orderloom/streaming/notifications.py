@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orderloom.operators.ordered import running_totals
-from orderloom.streaming.events import CREATED, STATUS_UPDATED, accepted, decode, rejected
+from orderloom.streaming.events import CREATED, STATUS_UPDATED, accepted, decode, event_time, rejected
 
 # Type, states and texts of a notification.
 KIND = "ORDER"
@@ -82,22 +83,41 @@ def start_notifier(
 ) -> StreamingQuery:
     """Write queue, history and rejected events of a stream of raw events.
 
-    Each batch fills a folder of its own and replaces it when it is replayed, so
-    a restart repeats nothing. The events are decoded once per table; keeping
-    the batch cached for three small outputs costs more than that.
+    Every batch is decoded once into a table below the checkpoint, by month of
+    the events, from which the three tables are taken; so they agree on the time
+    of an event that brings none. A repeated event is notified once: what an
+    earlier batch has decoded is left out, and only the months of the batch are
+    looked up for that, so nothing is dropped for being late. Each batch fills a
+    folder of its own and replaces it when it is replayed, so a restart repeats
+    nothing.
     """
+    folder = f"{checkpoint}/decoded"
+    keys = ["orderId", "eventType", "event_time"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode(batch)
-        pending = notifications(accepted(decoded))
+        session = batch.sparkSession
+        timed = batch.withColumn("month", F.date_format("event_time", "yyyy-MM")).hint("rebalance", "month")
+        own = f"{folder}/batch={batch_id}"
+        timed.write.mode("overwrite").partitionBy("month").parquet(own)
+        rows = session.read.schema(timed.schema).parquet(own)
+        fresh = rows.where("valid").select("event.*", "event_time", "month").dropDuplicates(keys)
+        if batch_id:
+            stored = session.read.schema(T.StructType([*timed.schema, T.StructField("batch", T.LongType())])).parquet(folder)
+            earlier = stored.where(F.col("valid") & (F.col("batch") < batch_id))
+            known = earlier.select("month", "event.orderId", "event.eventType", "event_time")
+            same = [F.equal_null(fresh[c], known[c]) for c in ("month", *keys)]
+            fresh = fresh.join(known, same, "left_anti")
+        pending = notifications(fresh)
         for df, path in (
             (pending, queue),
             (delivered(pending), history),
-            (rejected(decoded), rejects),
+            (rejected(rows), rejects),
         ):
             df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    decoded = decode(raw)
+    timed = decoded.withColumn("event_time", event_time())
+    writer = timed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -197,35 +197,52 @@ def test_history_expires_as_a_whole(spark):
 
 def run_log(spark, folder, source, max_files=None):
     raw_stream = ev.file_stream(spark, source, max_files)
-    log = history.history_log(notifications.delivered(notifications.order_notifications(raw_stream)))
-    query = (
-        log.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}-checkpoint")
-        .trigger(availableNow=True)
-        .start(str(folder))
-    )
-    query.awaitTermination()
-    return spark.read.parquet(str(folder))
+    sent = notifications.delivered(notifications.order_notifications(raw_stream))
+    paths = {name: f"{folder}/{name}" for name in ("pushes", "days")}
+    history.start_history(sent, checkpoint=f"{folder}-checkpoint", available_now=True, **paths).awaitTermination()
+    return history.history_log(*(spark.read.parquet(path).drop("batch") for path in paths.values()))
 
 
 def test_history_log_in_one_batch_or_many(spark, rows, tmp_path):
     source = write_files(tmp_path / "in", texts(GOOD), per_file=1)
-    columns = ["recipient", "list_start", "seq", "sentAt", "orderId", "expires_at"]
+    columns = ["recipient", "op", "list_start", "seq", "sentAt", "orderId", "expires_at"]
     one = run_log(spark, tmp_path / "one", source)
     many = run_log(spark, tmp_path / "many", source, max_files=1)
+    assert rows(one, *columns) == rows(many, *columns)
     pushes = F.col("op") == history.PUSH
-    assert rows(one.where(pushes), *columns) == rows(many.where(pushes), *columns)
     found = {(r.orderId, r.eventType): (r.list_start, r.seq) for r in one.where(pushes).collect()}
     assert found[1, ev.STATUS_UPDATED] == (START, 2)
     # User 7 was silent for 39 days: the list ended and another began.
     assert found[3, ev.CREATED] == (START + timedelta(days=40), 1)
-    expired = {(r.recipient, r.list_start, r.seq) for r in one.where(~pushes).collect()}
-    assert ("7", START, 2) in expired and ("8", START + timedelta(days=2), 1) in expired
 
 
-def test_history_log_expires_by_watermark(spark, tmp_path):
+def test_history_log_of_late_pushes(spark, rows, tmp_path):
+    """Pushes at day 0, 40 and 12: the last one joins the list of day 0 and keeps it alive."""
+    lines = texts([event(1, 7), event(2, 7, days=40), event(3, 7, days=12)])
+    source = write_files(tmp_path / "in", lines, per_file=1)
+    found = [
+        rows(run_log(spark, tmp_path / f"out{files}", source, max_files=files), "orderId", "list_start", "seq")
+        for files in (None, 1)
+    ]
+    assert found[0] == found[1] == [(1, START, 1), (2, START, 3), (3, START, 2)]
+
+
+def test_history_log_closes_lists_after_the_lateness(spark, tmp_path):
     lines = texts([event(1, 7), event(2, 8, days=61), event(3, 8, days=62)])
     source = write_files(tmp_path / "in", lines, per_file=1)
     log = run_log(spark, tmp_path / "out", source, max_files=1)
     ended = log.where(F.col("op") == history.EXPIRE).collect()
-    assert [(r.recipient, r.expires_at) for r in ended] == [("7", START + timedelta(days=30))]
+    assert [(r.recipient, r.seq, r.expires_at) for r in ended] == [("7", 1, START + timedelta(days=30))]
+
+
+def test_notifier_takes_a_repeated_event_once(spark, tmp_path):
+    """Over several batches; the file's time stands in for a missing one, the same in both tables."""
+    timeless = {**GOOD[1], "timestamp": None}
+    broken = '{"orderId": 5'
+    source = write_files(tmp_path / "in", [*texts([GOOD[0], GOOD[0], timeless, GOOD[0]]), broken, broken], per_file=1)
+    paths = {name: str(tmp_path / name) for name in ("queue", "history", "rejects")}
+    stream = ev.file_stream(spark, source, 1)
+    notifications.start_notifier(stream, checkpoint=str(tmp_path / "c"), available_now=True, **paths).awaitTermination()
+    queue, sent = (sorted((r.orderId, r.createdAt) for r in spark.read.parquet(paths[n]).collect()) for n in ("queue", "history"))
+    assert len(queue) == 2 and queue == sent
+    assert spark.read.parquet(paths["rejects"]).count() == 2
