@@ -24,7 +24,7 @@ def _with_text(columns: list[str], text: Column, parent: str = "") -> list[Colum
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; null and empty texts are scored as empty."""
     model = quality.fit_on_labels(docs, table(spark, sf_dir, "labels"))
-    return docs.where(quality.score(F.col("text"), model) >= quality.THRESHOLD)
+    return quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; null texts stay null."""
     field = pii.fit_field(docs)
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
-    hidden = named.select("row", pii.redacted(F.col("text"), field).alias("text"))
-    return hidden.select(*_with_text(docs.columns, F.col("text"), "row."))
+    return pii.redacted(docs, field).select(*_with_text(docs.columns, F.col("hidden"), "row."))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

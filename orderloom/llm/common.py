@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderloom.session import shared_folder
 
@@ -55,3 +57,23 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def from_text(docs: DataFrame, name: str, kind: T.DataType, arrow_kind: pa.DataType, make: Callable[[], Callable]) -> DataFrame:
+    """``row``, all columns as they were, and a column made from the texts of a slice.
+
+    ``make`` is called in the task and returns a function from a list of texts
+    to a list of values. Only short slices become Python objects, and the other
+    columns pass through as Arrow data.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = T.StructType([packed.schema["row"], T.StructField(name, kind)])
+
+    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in slices(batches):
+            texts = pc.struct_field(batch["row"], "text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(function(texts), arrow_kind)], names=["row", name])
+
+    return packed.mapInArrow(mapped, schema)

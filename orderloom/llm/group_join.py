@@ -63,7 +63,7 @@ MOST_FREQUENT = 1 << 22
 #: Rows of two numbers that are broadcast at most; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Tokens that a task gathers before it sends them.
-FLUSHED = 1 << 21
+FLUSHED = 1 << 20
 DOCS_PER_BUCKET = 2000
 
 _MULTIPLIERS = (np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) + np.uint64(1)

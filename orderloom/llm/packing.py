@@ -35,7 +35,7 @@ from orderloom.llm.common import slices, stored, tokenizer_file
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 END_TEXT, END_TEXT_ID = "<|endoftext|>", 50256
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 150_000
 #: A word with the space before it, or white space; words are split further by the vocabulary's own pattern.
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python takes these for white space, the vocabulary's pattern does not.

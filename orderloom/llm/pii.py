@@ -29,12 +29,12 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orderloom.llm.common import bounded_sample, slices
+from orderloom.llm.common import bounded_sample, from_text, slices
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -311,18 +311,15 @@ def digest(base: Sequence[Span]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
 
 
-def redacted(text: Column, field: SkipChainField) -> Column:
-    """Texts with every span replaced by its kind in angle brackets; overlapping spans become one."""
-
-    @F.pandas_udf("string")
-    def covered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([None if t is None else redact(t, field) for t in texts], dtype=object)
-
-    return covered(text)
+def redacted(docs: DataFrame, field: SkipChainField) -> DataFrame:
+    """``row``, all columns of a document, and ``hidden``, its text with every span replaced by its kind in angle brackets."""
+    return from_text(
+        docs, "hidden", T.StringType(), pa.string(), lambda: lambda texts: [None if t is None else redact(t, field) for t in texts]
+    )
 
 
 def redact(text: str, field: SkipChainField) -> str:
+    """A text with its spans replaced; overlapping ones become one."""
     base = base_spans(text)
     spans = sorted(base + field.added(text, base), key=lambda s: (s.start, s.kind))
     out, at = [], 0

@@ -23,15 +23,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderloom.llm.bpe import Bounded
-from orderloom.llm.common import bounded_sample
+from orderloom.llm.common import bounded_sample, from_text
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
@@ -42,7 +43,7 @@ WINDOW = 2
 #: Words seen less often are known by their shape only.
 LEAST_SEEN = 4
 THRESHOLD = 0.3
-CACHED_WORDS = 250_000
+CACHED_WORDS = 60_000
 
 _SHAPE = (
     (re.compile(r"[^\W\d_]+"), lambda hit: "X" if hit[0].isupper() else "Xx" if hit[0][0].isupper() else "x"),
@@ -181,22 +182,19 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Q
     return fit([r.text for r in rows], [r.quality for r in rows])
 
 
-def score(text: Column, model: QualityModel) -> Column:
-    """The chance that a text's quality is 1."""
+def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """``row``, all columns of a document, and ``score``, the chance that its quality is 1."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            pooled = [model.pooled(t or "") for t in texts]
-            yield pd.Series(model.score(np.array(pooled).reshape(-1, SIZE + 1)), dtype="float64")
+    def scores(texts: list[str | None]) -> list[float]:
+        pooled = [model.pooled(t or "") for t in texts]
+        return model.score(np.array(pooled).reshape(-1, SIZE + 1)).tolist()
 
-    return scored(text)
+    return from_text(docs, "score", T.DoubleType(), pa.float64(), lambda: scores)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = fit_on_labels(docs, labels)
-    scored = docs.select(
-        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score(F.col("text"), model).alias("score")
-    )
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    found = scored(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    aside = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", aside.alias("held_out"), "score").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

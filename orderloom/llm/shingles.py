@@ -19,7 +19,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes that are hashed at a time; a longer word is taken whole.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15
@@ -73,7 +73,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         inside = np.concatenate([[False], ~_SPACE[part], [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edge[0::2], edge[1::2]
-        up, down = _powers(1 << max(20, (len(part) - 1).bit_length()))
+        up, down = _powers(1 << max(18, (len(part) - 1).bit_length()))
         sums = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(_NUMBERS[part] * up[: len(part)], dtype=_U)])
         hashes.append(_mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(_U) * _STEP))
         starts.append(begin + at)
