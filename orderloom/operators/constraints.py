@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,12 +144,47 @@ def table_violations(table: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def delete_rows(table: str, deleted: DataFrame, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+class Deleted(NamedTuple):
+    """The tables that a deletion changed, and the ids that a restricting reference kept from it."""
+
+    tables: dict[str, DataFrame]
+    blocked: DataFrame
+
+
+def blocked_ids(table: str, ids: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Those of some ids (column id) that cannot be deleted.
+
+    A restricting reference blocks the row it refers to, and a row that would be
+    deleted along with it blocks it when it is blocked itself.
+    """
+    found = ids.where("false")
+    for child, reference in children_of(table):
+        if child not in tables or reference.on_delete == "null":
+            continue
+        parents = ids.select(F.col("id").alias("parent"))
+        referring = tables[child].select(F.col(reference.column).alias("parent"), *(["id"] if "id" in tables[child].columns else []))
+        referring = referring.join(parents, "parent", "left_semi")
+        if reference.on_delete == "cascade":
+            if not any(c in tables for c, _ in children_of(child)):
+                continue
+            referring = referring.join(blocked_ids(child, referring.select("id"), tables), "id", "left_semi")
+        found = found.union(referring.select(F.col("parent").alias("id")))
+    return found.distinct()
+
+
+def delete_rows(table: str, deleted: DataFrame, tables: Mapping[str, DataFrame]) -> Deleted:
     """Delete rows by id and carry the deletion on to the tables that refer to them.
 
-    ``deleted`` has the ids in its first column. Returns the changed tables.
+    ``deleted`` has the ids in its first column. Rows that a restricting
+    reference holds, directly or through a cascade, stay with all that belongs
+    to them, and their ids are returned.
     """
-    ids = deleted.select(F.col(deleted.columns[0]).alias("id"))
+    ids = deleted.select(F.col(deleted.columns[0]).alias("id")).where("id is not null").distinct()
+    blocked = blocked_ids(table, ids, tables)
+    return Deleted(_deleted(table, ids.join(blocked, "id", "left_anti"), tables), blocked)
+
+
+def _deleted(table: str, ids: DataFrame, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     result = {table: tables[table].join(ids, "id", "left_anti").select(*tables[table].columns)}
     for child, reference in children_of(table):
         if child not in tables or reference.on_delete == "restrict":
@@ -160,5 +196,5 @@ def delete_rows(table: str, deleted: DataFrame, tables: Mapping[str, DataFrame])
             gone = current[child].join(
                 ids.select(F.col("id").alias(reference.column)), reference.column, "left_semi"
             )
-            result.update(delete_rows(child, gone.select("id"), current))
+            result.update(_deleted(child, gone.select("id"), current))
     return result

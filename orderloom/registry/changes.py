@@ -6,10 +6,14 @@ product that they belong to, in order of ship date.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.operators import changes, constraints
 from orderloom.registry.core import Registry
+from orderloom.sources.schemas import declared_defaults
 
 registry = Registry()
 add = registry.add
@@ -308,3 +312,107 @@ add(
        select 'max_length', cast(id as varchar), 'status', cast(length(status) as varchar)
        from v_reviews where length(status) > 7""",
 )
+
+# Some orders have lost their time, state or amount.
+_HOLED_SPARK = """
+    select id, user_id, case when id % 5 > 0 then status end as status,
+           case when id % 11 > 0 then total_amount end as total_amount,
+           case when id % 7 > 0 then created_at end as created_at
+    from {v_orders}"""
+_HOLED = ("holed", _HOLED_SPARK.replace("{v_orders}", "v_orders"))
+_AS_OF = "2002-01-01 00:00:00"
+
+
+def _holed(t):
+    return t.spark.sql(_HOLED_SPARK, v_orders=t.v_orders)
+
+
+add(
+    "c05_declared_defaults",
+    lambda t: constraints.fill_defaults(_holed(t), declared_defaults("orders", _AS_OF)),
+    f"""select id, user_id, coalesce(status, 'PENDING') as status, total_amount,
+               coalesce(created_at, timestamp '{_AS_OF}') as created_at
+        from holed""",
+    doubles="total_amount",
+    named=(_HOLED,),
+)
+
+# Every third order has a shipment with two places on its way.
+_SHIPMENTS_SPARK = "select id * 10 as id, id as order_id from {v_orders} where id % 3 = 0"
+_SHIPMENTS = ("shipped", _SHIPMENTS_SPARK.replace("{v_orders}", "v_orders"))
+
+
+def _delivery_tables(t):
+    shipments = t.spark.sql(_SHIPMENTS_SPARK, v_orders=t.v_orders)
+    tracking = shipments.select(
+        F.explode(F.array(F.col("id") * 10 + 1, F.col("id") * 10 + 2)).alias("id"), F.col("id").alias("shipment_id")
+    )
+    return {"orders": t.v_orders, "order_items": t.v_order_items, "shipments": shipments, "shipment_tracking": tracking}
+
+
+def _named_ids(tables, **more):
+    named = {**tables, **more}
+    parts = [df.select(F.lit(name).alias("name"), F.col("id").cast("bigint").alias("id")) for name, df in named.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _deleted_orders(t):
+    gone = t.v_orders.where("id % 5 = 0").select("id")
+    result = constraints.delete_rows("orders", gone, _delivery_tables(t))
+    return _named_ids(result.tables, blocked=result.blocked)
+
+
+add(
+    "c07_restricted",
+    _deleted_orders,
+    """select 'orders' as name, id from v_orders where id % 5 > 0 or id in (select order_id from shipped)
+       union all
+       select 'order_items', id from v_order_items
+       where order_id % 5 > 0 or order_id in (select order_id from shipped)
+       union all
+       select 'blocked', id from v_orders where id % 5 = 0 and id in (select order_id from shipped)""",
+    named=(_SHIPMENTS,),
+)
+
+
+def _deleted_chain(t):
+    """Shipments with their places first, then the orders with their items, then users that nothing holds any more."""
+    tables = _delivery_tables(t)
+    orders = t.v_orders.where("user_id % 7 = 0")
+    shipments = tables["shipments"].join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    tables |= constraints.delete_rows("shipments", shipments.select("id"), tables).tables
+    tables |= constraints.delete_rows("orders", orders.select("id"), tables).tables
+    tables["users"] = t.v_users
+    users = t.v_users.where("id % 7 = 0 or id % 7 = 1").select("id")
+    result = constraints.delete_rows("users", users, tables)
+    return _named_ids({**tables, **result.tables}, blocked=result.blocked)
+
+
+add(
+    "c07_delete_chain",
+    _deleted_chain,
+    """select 'orders' as name, id from v_orders where user_id % 7 > 0
+       union all
+       select 'order_items', i.id from v_order_items i join v_orders o on o.id = i.order_id where o.user_id % 7 > 0
+       union all
+       select 'shipments', s.id from shipped s join v_orders o on o.id = s.order_id where o.user_id % 7 > 0
+       union all
+       select 'shipment_tracking', s.id * 10 + step from shipped s join v_orders o on o.id = s.order_id,
+              (select unnest([1, 2]) as step) where o.user_id % 7 > 0
+       union all
+       select 'users', id from v_users
+       where id % 7 > 1 or (id % 7 = 1 and id in (select user_id from v_orders))
+       union all
+       select 'blocked', id from v_users where id % 7 = 1 and id in (select user_id from v_orders)""",
+    named=(_SHIPMENTS,),
+)
+add(
+    "c10_table_violations",
+    lambda t: constraints.table_violations("orders", {"orders": _holed(t), "users": t.v_users.where("status = 'ACTIVE'")}),
+    """select 'not_null' as rule, cast(id as varchar) as key, 'total_amount' as "column", cast(null as varchar) as value
+       from holed where total_amount is null
+       union all
+       select 'foreign_key', cast(id as varchar), 'user_id', cast(user_id as varchar)
+       from holed where user_id not in (select id from v_users where status = 'ACTIVE')""",
+    named=(_HOLED,),
+)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import lookup
 from orderloom.registry.core import Registry
+from orderloom.sources.tables import literal_rows
 
 registry = Registry()
 add = registry.add
@@ -19,6 +20,13 @@ add(
        where id in (select l_partkey from lineitem where l_quantity >= 50)""",
     doubles="price",
 )
+# A few keys given with the request, looked up in a table.
+add(
+    "s07_requested_orders",
+    lambda t: lookup.by_keys(t.v_orders, literal_rows(t.spark, [(1,), (17,), (402,), (-1,)], "orders", ["id"]).select("id")),
+    "select * from v_orders where id in (1, 17, 402, -1)",
+    doubles="total_amount",
+)
 add("p02_find_all", lambda t: lookup.find_all(t.v_users), "select * from v_users")
 add("p03_orders_of_user", lambda t: lookup.orders_of_user(t.v_orders, 42),
     "select * from v_orders where user_id = 42", doubles="total_amount")

@@ -180,8 +180,8 @@ add(
     lambda t: synthetic.product_images(_ids(t, "part", "p_partkey")),
     f"""select product_id * 5 + j as id, product_id,
                concat('https://example.com/images/', product_id, '_', j, '.jpg') as image_url,
-               concat('Image ', j, ' for product ', product_id) as alt_text, j = 0 as is_primary
-        from (select id as product_id, unnest(range({_between('image.count', 1, 5)})) as j from ids) x""",
+               concat('Image ', j, ' for ', name) as alt_text, j = 0 as is_primary
+        from (select id as product_id, {_PRODUCT_NAME} as name, unnest(range({_between('image.count', 1, 5)})) as j from ids) x""",
     named=(_keys("part", "p_partkey"),),
 )
 

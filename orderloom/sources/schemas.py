@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 # Columns, types and NOT NULL marks of each table. Text lengths
-# and NOT NULL are not enforced on read; see constraint_rules.
+# and NOT NULL are not enforced on read; see operators/constraints.py.
 _TABLES = {
     "users": """
         id BIGINT NOT NULL, email VARCHAR(255) NOT NULL, password VARCHAR(255) NOT NULL,
@@ -239,6 +239,16 @@ def required_columns(table: str) -> list[str]:
     return [f.name for f in declared_schema(table).fields if not f.nullable]
 
 
+#: Columns that default to the current time, in every table with constraints that has them.
+_STAMPED = ("registration_date", "created_at", "updated_at", "timestamp")
+
+
+def declared_defaults(table: str, as_of: object) -> dict[str, object]:
+    """Defaults of a table's columns; ``as_of`` stands for the current time."""
+    stamped = [c for c in _STAMPED if table in CONSTRAINTS and c in declared_schema(table).fieldNames()]
+    return {**CONSTRAINTS.get(table, Constraints()).defaults, **dict.fromkeys(stamped, as_of)}
+
+
 def length_limits(table: str) -> dict[str, int]:
     return {
         f.name: f.dataType.length

@@ -156,14 +156,19 @@ def product_price(product: Column, seed: int = SEED) -> Column:
     return between(draw(seed, "product.price", product), 10_000, 500_000)
 
 
+def product_name(product: Column, seed: int = SEED) -> Column:
+    """The name of a product, from its id alone."""
+    return F.concat(
+        choice(draw(seed, "product.kind", product), fixed.PRODUCT_NAMES),
+        F.lit(" "),
+        letters(seed, "product.name", 5, product),
+    )
+
+
 def products(rows: DataFrame, category_count: Size, brand_count: Size, seed: int = SEED) -> DataFrame:
     key = F.col("id")
     price = product_price(key, seed)
-    name = F.concat(
-        choice(draw(seed, "product.kind", key), fixed.PRODUCT_NAMES),
-        F.lit(" "),
-        letters(seed, "product.name", 5, key),
-    )
+    name = product_name(key, seed)
     return rows.select(
         key,
         F.concat(F.lit("SKU-"), letters(seed, "product.sku", 12, key)).alias("sku"),
@@ -187,12 +192,14 @@ def product_images(rows: DataFrame, seed: int = SEED) -> DataFrame:
     key, j = F.col("product_id"), F.col("j")
     count = between(draw(seed, "image.count", F.col("id")), 1, 5)
     return rows.select(
-        F.col("id").alias("product_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("j")
+        F.col("id").alias("product_id"),
+        product_name(F.col("id"), seed).alias("name"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("j"),
     ).select(
         (key * 5 + j).alias("id"),
         key,
         F.format_string("https://example.com/images/%d_%d.jpg", key, j).alias("image_url"),
-        F.format_string("Image %d for product %d", j, key).alias("alt_text"),
+        F.format_string("Image %d for %s", j, F.col("name")).alias("alt_text"),
         (j == 0).alias("is_primary"),
     )
 

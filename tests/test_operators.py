@@ -154,12 +154,41 @@ def test_deletes_cascade_through_tables(spark, rows):
         "cart_items": spark.createDataFrame([(1, 7), (2, 8)], "id bigint, user_id bigint"),
     }
     gone = spark.createDataFrame([(7,)], "id bigint")
-    result = constraints.delete_rows("users", gone, tables)
-    assert set(result) == {"users", "product_views", "cart_items"}
+    blocked = constraints.delete_rows("users", gone, tables)
+    assert rows(blocked.blocked) == [(7,)]  # an order refers to the user
+    assert rows(blocked.tables["users"]) == [(7,), (8,)] and blocked.tables["cart_items"].count() == 2
+    del tables["orders"]
+    result, blocked = constraints.delete_rows("users", gone, tables)
+    assert set(result) == {"users", "product_views", "cart_items"} and blocked.count() == 0
     assert rows(result["product_views"]) == [(1, None), (2, 8)]
     assert rows(result["cart_items"]) == [(2, 8)]
+    tables["orders"] = spark.createDataFrame([(1, 7), (2, 8)], "id bigint, user_id bigint")
     orders = constraints.delete_rows("orders", gone.selectExpr("1L as id"), tables)
-    assert rows(orders["order_items"]) == [(2, 2)]
+    assert rows(orders.tables["order_items"]) == [(2, 2)]
+
+
+def test_restricted_rows_block_through_cascades(spark, rows):
+    tables = {
+        "users": spark.createDataFrame([(7,), (8,), (9,)], "id bigint"),
+        "user_addresses": spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "id bigint, user_id bigint"),
+        "orders": spark.createDataFrame(
+            [(1, None, 1, None), (2, None, None, None)],
+            "id bigint, user_id bigint, shipping_address_id bigint, billing_address_id bigint",
+        ),
+    }
+    result = constraints.delete_rows("users", spark.createDataFrame([(7,), (8,), (None,)], "id bigint"), tables)
+    assert rows(result.blocked) == [(7,)]
+    assert rows(result.tables["users"]) == [(7,), (9,)]
+    assert rows(result.tables["user_addresses"]) == [(1, 7), (3, 9)]
+
+
+def test_time_defaults_are_declared(spark):
+    from orderloom.sources.schemas import declared_defaults
+
+    assert declared_defaults("users", "now") == {
+        "status": "ACTIVE", "tier": "BRONZE", "registration_date": "now", "created_at": "now", "updated_at": "now",
+    }
+    assert declared_defaults("shipment_tracking", "now") == {"timestamp": "now"}
 
 
 def test_declared_constraints_of_a_table(spark, rows):
