@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.scalars import Day, bounded, midnight, percent, quotient
@@ -130,18 +130,15 @@ def product_affinity(
     *,
     min_co: int = 10,
     top: int = 100,
-    large_basket: int = 1_000,
+    cell: int = 1_000,
 ) -> DataFrame:
     """Pairs of active products bought in at least ``min_co`` common orders.
 
     Pairs are built from baskets that were cut to active products found in at
-    least ``min_co`` orders; no other product can be part of a result. A pair
-    that reaches the threshold must also occur outside any given ``min_co - 1``
-    orders, so that many of the largest baskets are set aside: they create no
-    pairs, and each pair found elsewhere looks up how many of them hold both
-    products. A basket of more than ``large_basket`` products beyond those is
-    joined in slices of about that many, so that its pairs spread over tasks.
-    All of this is exact.
+    least ``min_co`` orders; no other product can be part of a result. A basket
+    is cut into pieces of about ``cell`` products, and two of its pieces meet in
+    a cell of their own, so that however large a basket is, a task pairs no more
+    than the square of that under one key.
     """
     order_total = items.agg(F.count_distinct("order_id").alias("n")).select("n").scalar()
     held = (
@@ -156,89 +153,37 @@ def product_affinity(
         .where(F.col("order_count") >= min_co)
         .join(active, "product_id")
     )
-    # Inner joins on unique keys: a semi join would be moved below the distinct
-    # and keep both uses of it from sharing one shuffle.
+    # An inner join on a unique key: a semi join would be moved below the
+    # distinct and keep both uses of it from sharing one shuffle.
     baskets = held.join(frequent.select("product_id"), "product_id").select("order_id", "product_id")
-
-    sizes = baskets.groupBy("order_id").agg(F.count("product_id").alias("size"))
-    aside = bounded(
-        sizes.where(F.col("size") > large_basket)
-        .orderBy(F.col("size").desc(), "order_id")
-        .limit(min_co - 1)
-        .select("order_id"),
-        min_co - 1,
-    )
-    aside_total = aside.agg(F.count("order_id").alias("n")).select("n").scalar()
-
-    # An outer join with a test for null, as an anti join would also be moved
-    # below the distinct.
-    paired_orders = (
-        sizes.where(F.col("size") > 1)
-        .join(aside.withColumn("set_aside", F.lit(True)), "order_id", "left")
-        .where(F.col("set_aside").isNull())
-        .drop("set_aside")
-    )
-    small = baskets.join(paired_orders.where(F.col("size") <= large_basket), "order_id").drop("size")
-    small_pairs = (
-        small.withColumnRenamed("product_id", "product_a")
-        .join(small.withColumnRenamed("product_id", "product_b"), "order_id")
-        .where(F.col("product_a") < F.col("product_b"))
-    )
-    large = baskets.join(paired_orders.where(F.col("size") > large_basket), "order_id")
-    slices = F.ceil(F.col("size") / F.lit(large_basket)).cast("int")
-    large_pairs = (
-        large.select(
-            "order_id",
-            F.pmod(F.xxhash64("product_id"), slices).cast("int").alias("slice"),
-            F.col("product_id").alias("product_a"),
-        )
-        .join(
-            large.select(
-                "order_id",
-                F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"),
-                F.col("product_id").alias("product_b"),
-            ),
-            ["order_id", "slice"],
-        )
-        .where(F.col("product_a") < F.col("product_b"))
-    )
-    counted = (
-        small_pairs.select("product_a", "product_b")
-        .unionByName(large_pairs.select("product_a", "product_b"))
-        .groupBy("product_a", "product_b")
-        .agg(F.count(F.lit(1)).alias("paired"))
-    )
-
-    # At most min_co - 1 orders per product.
-    set_aside = (
-        baskets.join(aside, "order_id")
-        .groupBy("product_id")
-        .agg(F.collect_set("order_id").alias("aside"))
+    pieces = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("order_id")) / F.lit(cell)).cast("int")
+    cut = baskets.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("product_id"), "pieces").cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
+        "order_id", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "product_id"
     )
-    popular = frequent.join(set_aside, "product_id", "left").withColumn(
-        "aside", F.coalesce("aside", F.array().cast("array<bigint>"))
+    left = met.withColumnsRenamed({"product_id": "product_a", "piece": "piece_a"})
+    right = met.withColumnsRenamed({"product_id": "product_b", "piece": "piece_b"})
+    pairs = left.join(right, ["order_id", "low", "high"]).where(
+        (F.col("product_a") < F.col("product_b")) & ((F.col("low") == F.col("high")) | (F.col("piece_a") != F.col("piece_b")))
     )
+    counted = pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_occurrence_count"))
 
     def side(which: str) -> DataFrame:
-        return popular.select(
+        return frequent.select(
             F.col("product_id").alias(f"product_{which}"),
             F.col("name").alias(f"product_{which}_name"),
             F.col("order_count").alias(f"product_{which}_orders"),
-            F.col("aside").alias(f"aside_{which}"),
         )
 
-    shared = F.col("paired") + F.size(F.array_intersect("aside_a", "aside_b"))
     common, orders_a, orders_b = (
         F.col("co_occurrence_count"),
         F.col("product_a_orders"),
         F.col("product_b_orders"),
     )
     return (
-        counted.where(F.col("paired") + aside_total >= min_co)
+        counted.where(common >= min_co)
         .join(side("a"), "product_a")
         .join(side("b"), "product_b")
-        .withColumn("co_occurrence_count", shared.cast("bigint"))
-        .where(common >= min_co)
         .select(
             "product_a",
             "product_a_name",

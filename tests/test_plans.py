@@ -167,15 +167,15 @@ def brute_affinity(lines, active, min_co):
 @given(
     lines=st.lists(st.tuples(st.integers(1, 8), st.integers(1, 12)), min_size=1, max_size=80),
     min_co=st.integers(1, 4),
-    large=st.integers(2, 6),
+    cell=st.integers(1, 6),
 )
-def test_product_affinity_equals_brute_force(spark, lines, min_co, large):
+def test_product_affinity_equals_brute_force(spark, lines, min_co, cell):
     rows = [line(i, o, p) for i, (o, p) in enumerate(lines)]
     catalogue = spark.createDataFrame(
         [product(i, status="INACTIVE" if i % 5 == 0 else "ACTIVE") for i in range(1, 13)], PRODUCTS
     )
     items = spark.createDataFrame(rows, ITEMS)
-    result = products.product_affinity(catalogue, items, min_co=min_co, top=1000, large_basket=large)
+    result = products.product_affinity(catalogue, items, min_co=min_co, top=1000, cell=cell)
     found = sorted((r.product_a, r.product_b, r.co_occurrence_count) for r in result.collect())
     assert found == brute_affinity(rows, {i for i in range(1, 13) if i % 5}, min_co)
 
