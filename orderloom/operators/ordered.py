@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.functions.scalars import bounded
+from orderloom.functions.scalars import BROADCAST_ROWS, bounded
 
-# A slot with more than one in so many rows is cut further.
-HOT_SHARE = 1_000
-_FAN, _LEVELS = 8, 3
+# A slot with more rows is cut into pieces of about this many.
+SLOT_ROWS = 2_000_000
+# Most cuts of all slots together, which travel to every task.
+_ALL_CUTS = 1_000_000
+_FAN, _LEVELS = 16, 4
+# Ranges that a quantile's bracket is put in order by.
+_BRACKET_SLOTS = 1024
 
 
 def running_totals(
@@ -29,16 +33,21 @@ def running_totals(
     *,
     minima: Mapping[str, Column] | None = None,
     descending: bool = False,
-    hot_share: int = HOT_SHARE,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Add running sums and minima over the rows of each group in order.
 
     ``order`` names the columns to order by, all of them falling if
     ``descending``; together they should tell the rows of a group apart. ``slot``
     cuts the order into ranges and must not decrease along it. The values before
-    a slot come from one row per group and slot. A slot that holds a large part
-    of all rows is cut again at rows picked by their hash, so that no task gets
-    it whole. Both cuts follow from the data alone and are the same in a retry.
+    a slot come from one row per group and slot. A slot of more than
+    ``slot_rows`` rows is cut again at rows picked by their hash, into as many
+    pieces as its own number of rows asks for. Both cuts follow from the data
+    alone and are the same in a retry.
+
+    The cuts are broadcast, so there may be no more than 10 000 slots with cuts
+    and a million cuts: beyond 2 * 10^10 rows only slots of more than one in
+    10 000 rows are cut, and beyond 5 * 10^11 rows pieces grow.
     """
     folds = {n: (e, F.sum, F.lit(0)) for n, e in totals.items()}
     folds |= {n: (e, F.min, None) for n, e in (minima or {}).items()}
@@ -52,20 +61,17 @@ def running_totals(
 
     per_coarse = folded(coarse, "_coarse")
     rows = per_coarse.agg(F.sum("_n").alias("n")).select("n").scalar()
-    # Fewer than hot_share slots can hold that much.
-    hot = bounded(
-        per_coarse.where(F.col("_n") * hot_share > rows).select("_coarse", F.lit(True).alias("_hot")),
-        hot_share,
-    )
-    cuts = _cuts(coarse.join(hot, "_coarse"))
+    least = F.greatest(F.lit(slot_rows), rows / F.lit(BROADCAST_ROWS))
+    piece = F.greatest(F.lit(slot_rows), 4 * rows / F.lit(_ALL_CUTS))
+    hot = per_coarse.where(F.col("_n") > least).select("_coarse", F.col("_n"), piece.alias("_piece"))
+    cuts = bounded(_cuts(coarse, bounded(hot, BROADCAST_ROWS)), BROADCAST_ROWS)
 
     def keyed(rows: DataFrame, how: str) -> DataFrame:
         """Rows with their key: one struct, unlike plain columns, joins null groups as
         equal and keeps a single shuffle for the window and the join."""
-        fine = F.when(F.col("_hot"), _place_among(F.col("_place")))
+        fine = F.when(F.col("_cuts").isNotNull(), _place_among(F.col("_place")))
         return (
-            rows.join(hot, "_coarse", how)
-            .withColumn("_cuts", cuts)
+            rows.join(cuts, "_coarse", how)
             .withColumn("_key", F.struct("_coarse.*", (-fine if descending else fine).alias("_fine")))
             .drop("_cuts")
         )
@@ -73,10 +79,10 @@ def running_totals(
     # Slots as they are, except for hot ones, whose rows are read once more.
     whole = F.struct("_coarse.*", F.lit(None).cast("int").alias("_fine"))
     per_slot = (
-        per_coarse.join(hot, "_coarse", "left")
-        .where(F.col("_hot").isNull())
+        per_coarse.join(cuts, "_coarse", "left")
+        .where(F.col("_cuts").isNull())
         .withColumn("_key", whole)
-        .drop("_coarse", "_hot")
+        .drop("_coarse", "_cuts")
         .unionByName(folded(keyed(coarse, "inner"), "_key"))
     )
     earlier = (
@@ -104,21 +110,22 @@ def running_totals(
     return joined.select(*df.columns, *(combined(n, start) for n, (_, _, start) in folds.items()))
 
 
-def _cuts(df: DataFrame) -> Column:
-    """Some places of the order, those with the lowest hashes, as a tree of sorted arrays.
+def _cuts(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """Some places of each hot slot, those with the lowest hashes, as a tree of sorted arrays.
 
-    Each level holds the last places of the chunks of the level below.
+    Each level holds the last places of the chunks of the level below. There are
+    about four places for each piece that a slot should be cut into.
     """
-    place = F.col("_place")
-    picked = df.select("_place").orderBy(F.xxhash64(place), place).limit(_FAN**_LEVELS)
-    sorted_cuts = F.array_sort(F.collect_list("_place"))
+    place, n = F.col("_place"), F.col("_n")
+    wanted = F.least(4 * F.ceil(n / F.col("_piece")), F.lit(_FAN**_LEVELS // 2))
+    picked = df.select("_coarse", "_place").join(hot, "_coarse").where(F.pmod(F.xxhash64(place), n) < wanted)
 
     def every(step: int) -> Column:
         return F.filter("a", lambda _, i: (i + 1) % step == 0)
 
     levels = [every(_FAN**level).alias(f"level{level}") for level in range(_LEVELS)]
-    tree = picked.agg(sorted_cuts.alias("a")).select(F.struct(*levels).alias("cuts"))
-    return tree.select("cuts").scalar()
+    distinct = F.slice(F.array_sort(F.collect_set(place)), 1, _FAN**_LEVELS)
+    return picked.groupBy("_coarse").agg(distinct.alias("a")).select("_coarse", F.struct(*levels).alias("_cuts"))
 
 
 def _place_among(place: Column) -> Column:
@@ -195,7 +202,6 @@ def exclusive_quantile(
     cut: int = 19,
     parts: int = 20,
     accuracy: int = 50_000,
-    groups: int | None = None,
     name: str = "quantile",
 ) -> DataFrame:
     """Exact quantile at ``cut / parts`` of each group, by the exclusive method.
@@ -206,10 +212,9 @@ def exclusive_quantile(
     above it are dropped, and rows inside are counted per distinct value, which
     all happens before the shuffle. So the order is only built over a few
     values, and the result is still the exact one; a bracket that misses the
-    position fails the query instead of giving a wrong value.
-
-    ``groups`` is a bound on the number of groups, if the caller knows one; with
-    it the brackets are broadcast and the rows are not shuffled for them.
+    position, which the sketch's guarantee rules out, fails the query instead of
+    giving a wrong value. The values of a bracket are put in order by ranges, so
+    no task sorts a whole bracket.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
@@ -232,8 +237,6 @@ def exclusive_quantile(
     if by:
         key = F.struct(*by).alias("_key")
         limits = bracket.select(key, "_n", "_lo", "_hi", "_rank", "_rest")
-        if groups is not None:
-            limits = bounded(limits, groups)
         marked = rows.select("*", key).join(limits, "_key")
     else:
         marked = rows.withColumns(
@@ -242,21 +245,18 @@ def exclusive_quantile(
     inside = F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v"))
     counted = (
         marked.where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-        .groupBy(*by, "_n", "_rank", "_rest", inside.alias("_value"))
+        .groupBy(*by, "_n", "_lo", "_hi", "_rank", "_rest", inside.alias("_value"))
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    upto = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("_value").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    slot = F.coalesce(F.floor((F.col("_value") - F.col("_lo")) / width * _BRACKET_SLOTS), F.lit(-1))
+    ordered = running_totals(counted, by, slot, ["_value"], {"_upto": F.col("_copies")})
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("_upto") >= position, F.col("_value")))
 
     picked = (
-        counted.withColumn("_upto", F.sum("_copies").over(upto))
-        .groupBy(*by, "_n", "_rank", "_rest")
+        ordered.groupBy(*by, "_n", "_rank", "_rest")
         .agg(
             at(F.col("_rank")).alias("_x"),
             at(F.least(F.col("_rank") + 1, F.col("_n"))).alias("_y"),

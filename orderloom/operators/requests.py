@@ -54,16 +54,15 @@ def _summary(log: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def latency_summary(
-    log: DataFrame, by: str | None = None, *, groups: int | None = None, accuracy: int = 50_000
+    log: DataFrame, by: str | None = None, *, accuracy: int = 50_000
 ) -> DataFrame:
     """Outcome counts and shares, rate and latency, overall or per endpoint.
 
     The 95th percentile is exact; groups of up to 20 samples give their mean.
-    ``groups`` bounds the number of endpoints, where that is known.
     """
     keys = [by] if by else []
     summary = _summary(log, keys)
-    p95 = exclusive_quantile(log, "latency_ms", keys, accuracy=accuracy, groups=groups, name="p95")
+    p95 = exclusive_quantile(log, "latency_ms", keys, accuracy=accuracy, name="p95")
     if by:
         tail = p95.withColumnRenamed(by, "_of")
         summary = summary.join(tail, F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")

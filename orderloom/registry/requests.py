@@ -80,7 +80,7 @@ add(
 )
 add(
     "l04_exact_p95_per_endpoint",
-    lambda t: requests.latency_summary(t.v_requests, "endpoint", accuracy=200, groups=3),
+    lambda t: requests.latency_summary(t.v_requests, "endpoint", accuracy=200),
     f"""select m.*, case when m.total > 20 then p.p95 else m.avg_latency end as p95_latency
         from (select endpoint, {_MEASURES} from v_requests group by endpoint) m
         join ({_p95('endpoint')}) p on p.endpoint = m.endpoint""",

@@ -357,12 +357,12 @@ def test_dependencies_and_progress(spark, rows):
     assert steps[1].speed == pytest.approx(6 / 300)
 
 
-@pytest.mark.parametrize("hot_share", [1, 1_000_000])
-def test_running_totals_with_null_groups_and_slots(spark, hot_share):
+@pytest.mark.parametrize("slot_rows", [1, 1_000_000])
+def test_running_totals_with_null_groups_and_slots(spark, slot_rows):
     data = [("a", 1, 1), ("a", 5, 2), ("a", None, 4), (None, 2, 8), (None, 9, 16)]
     df = spark.createDataFrame(data, "g string, t int, v int")
     result = ordered.running_totals(
-        df, ["g"], F.floor(F.col("t") / 3), ["t"], {"total": F.col("v")}, hot_share=hot_share
+        df, ["g"], F.floor(F.col("t") / 3), ["t"], {"total": F.col("v")}, slot_rows=slot_rows
     )
     assert {(r.g, r.t): r.total for r in result.collect()} == {
         ("a", None): 4,
@@ -374,10 +374,10 @@ def test_running_totals_with_null_groups_and_slots(spark, hot_share):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("hot_share", [1, 3, 50, 1_000_000])
-def test_running_totals_cut_hot_slots(spark, descending, hot_share):
+@pytest.mark.parametrize("slot_rows", [1, 7, 40, 1_000_000])
+def test_running_totals_cut_hot_slots(spark, descending, slot_rows):
     """Most rows share a slot, and many of them an instant as well."""
-    random.seed(hot_share)
+    random.seed(slot_rows)
     data = [
         (random.choice("aab"), random.choice([7, 7, 7, random.randint(0, 30)]), i, random.randint(-5, 5))
         for i in range(9_000)
@@ -392,7 +392,7 @@ def test_running_totals_cut_hot_slots(spark, descending, hot_share):
         {"total": F.col("v")},
         minima={"lowest": F.when(F.col("id") % 7 == 0, F.col("v"))},
         descending=descending,
-        hot_share=hot_share,
+        slot_rows=slot_rows,
     )
     expected = {}
     for g in "ab":
@@ -412,3 +412,17 @@ def test_hot_slots_are_spread(spark):
     assert result.where("n <> id + 1").count() == 0
     plan = result._jdf.queryExecution().analyzed().toString()
     assert "_fine" in plan
+
+
+@pytest.mark.parametrize("rows", [4_000, 40_000])
+def test_pieces_of_a_slot_do_not_grow_with_it(spark, rows):
+    """The largest window group stays near the bound when the one hot slot grows tenfold."""
+    from orderloom.operators import ordered
+
+    df = spark.range(rows).select("id", F.lit(0).alias("slot"))
+    coarse = df.select(F.struct(F.lit(0).alias("_slot")).alias("_coarse"), F.struct("id").alias("_place"))
+    hot = spark.range(1).select(
+        F.struct(F.lit(0).alias("_slot")).alias("_coarse"), F.lit(rows).alias("_n"), F.lit(500.0).alias("_piece")
+    )
+    pieces = coarse.join(ordered._cuts(coarse, hot), "_coarse").groupBy(ordered._place_among(F.col("_place"))).count()
+    assert pieces.agg(F.max("count")).first()[0] <= 2_000
