@@ -355,7 +355,8 @@ def _parts(grouped: DataFrame) -> DataFrame:
 def _within(placed: DataFrame) -> DataFrame:
     """Queries (KEYS and id) between the components of one group."""
     mixed = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    inside = stored(placed.join(mixed.select("group"), "group", "left_semi").select("id", *KEYS), "inside")
+    mixed = stored(mixed.select("group"), "mixed")
+    inside = stored(placed.join(mixed, "group", "left_semi").select("id", *KEYS), "inside")
     pieces = stored(inside.select(*KEYS).distinct(), "targets").select("group", *(F.col(k).alias(f"to_{k}") for k in KEYS[1:]))
     later = (
         (~F.col("large") & (F.col("to_large") | (F.col("to_piece") >= F.col("piece"))))
