@@ -100,15 +100,21 @@ def rfm_segments(
         categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name")),
         "category_id",
     )
+    active = users.where(F.col("status") == "ACTIVE")
+    owned = (
+        orders.where(F.col("user_id").isNotNull())
+        .select(F.col("id").alias("order_id"), "user_id")
+        .join(active.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    )
+    # One row per user and product, so that a product with very many lines is not one key of the join.
     per_category = (
         items.select("order_id", "product_id")
-        .join(
-            orders.where(F.col("user_id").isNotNull()).select(F.col("id").alias("order_id"), "user_id"),
-            "order_id",
-        )
+        .join(owned, "order_id")
+        .groupBy("user_id", "product_id")
+        .agg(F.count(F.lit(1)).alias("lines"))
         .join(named, "product_id")
         .groupBy("user_id", "category_id", "category_name")
-        .agg(F.count(F.lit(1)).alias("lines"))
+        .agg(F.sum("lines").alias("lines"))
     )
     favourite = per_category.groupBy("user_id").agg(
         F.min(F.struct((-F.col("lines")).alias("rank"), F.col("category_name"))).alias("best")
@@ -129,8 +135,7 @@ def rfm_segments(
     cycle = F.round(quotient(F.datediff("last_day", "first_day"), F.col("dated") - 1))
 
     return (
-        users.where(F.col("status") == "ACTIVE")
-        .select(F.col("id").alias("user_id"), "name", "email", "tier", "registration_date")
+        active.select(F.col("id").alias("user_id"), "name", "email", "tier", "registration_date")
         .join(history, "user_id", "left")
         .join(favourite, "user_id", "left")
         .select(

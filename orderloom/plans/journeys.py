@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.scalars import Day, midnight, minute_index, percent, quotient, top_rows
+from orderloom.operators.ordered import running_totals
 
 
 def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFrame:
@@ -14,10 +15,9 @@ def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFr
     A purchase counts if the same user bought the clicked product strictly after
     the search. Searches and purchases are laid on one timeline per user and
     product. Equal entries of an instant are one row with a weight by then, and
-    the timeline is cut by minute, so that copies and a busy user or product
-    spread out. Within the minute a running minimum from its end gives each
-    search the lowest order id after it; for the minutes after it, one row per
-    minute is enough. So no search is paired with every purchase.
+    a running minimum from the end of the timeline gives each search the lowest
+    order id after it. So no search is paired with every purchase, and a busy
+    user, product or minute is cut into pieces.
     """
     searched = clicks.groupBy(
         "user_id", F.col("clicked_product_id").alias("product_id"), F.col("created_at").alias("at"), "search_query"
@@ -26,44 +26,34 @@ def _first_orders_after_click(clicks: DataFrame, purchases: DataFrame) -> DataFr
         F.sum("results_count").alias("results"),
         F.count("results_count").alias("with_results"),
     )
-    bought = purchases.groupBy("user_id", "product_id", F.col("created_at").alias("at")).agg(
-        F.min("order_id").cast("bigint").alias("order_id")
+    clicked = searched.select("user_id", "product_id").distinct()
+    bought = (
+        purchases.groupBy("user_id", "product_id", F.col("created_at").alias("at"))
+        .agg(F.min("order_id").cast("bigint").alias("order_id"))
+        .join(clicked, ["user_id", "product_id"], "left_semi")
     )
-    timeline = searched.unionByName(bought, allowMissingColumns=True).withColumn(
-        "minute", minute_index(F.col("at"))
+    timeline = searched.withColumn("search", F.lit(True)).unionByName(
+        bought.withColumn("search", F.lit(False)), allowMissingColumns=True
     )
-    slot = ["user_id", "product_id", "minute"]
-
     # From the end, searches come before a purchase of the same instant.
-    from_end = (
-        Window.partitionBy(*slot)
-        .orderBy(F.col("at").desc(), F.col("searches").isNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    later_minutes = (
-        Window.partitionBy("user_id", "product_id")
-        .orderBy(F.col("minute").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    by_minute = (
-        timeline.groupBy(*slot)
-        .agg(F.min("order_id").alias("lowest"))
-        .select(*slot, F.min("lowest").over(later_minutes).alias("later"))
-    )
-    return (
-        timeline.withColumn("soon", F.min("order_id").over(from_end))
-        .where(F.col("searches").isNotNull())
-        .join(by_minute, slot)
-        .select(
-            "user_id",
-            F.col("product_id").alias("clicked_product_id"),
-            F.col("at").alias("created_at"),
-            "search_query",
-            "searches",
-            "results",
-            "with_results",
-            F.least("soon", "later").alias("converted_order"),
-        )
+    followed = running_totals(
+        timeline,
+        ["user_id", "product_id"],
+        -minute_index(F.col("at")),
+        ["at", "search", "search_query"],
+        {},
+        minima={"converted_order": F.col("order_id")},
+        descending=True,
+    )
+    return followed.where("search").select(
+        "user_id",
+        F.col("product_id").alias("clicked_product_id"),
+        F.col("at").alias("created_at"),
+        "search_query",
+        "searches",
+        "results",
+        "with_results",
+        "converted_order",
     )
 
 
@@ -100,10 +90,14 @@ def search_effectiveness(
         F.lit(None).cast("bigint").alias("converted_order"),
     )
 
-    hour = F.hour("created_at")
+    # Reduced to what the distinct counts can tell apart, as each of them reads all rows once more.
+    apart = ["user_id", "clicked_product_id", "converted_order"]
+    counts = [F.sum(c).alias(c) for c in ("searches", "results", "with_results")]
     grouped = (
         followed.unionByName(other)
-        .groupBy("search_query", hour.alias("search_hour"))
+        .groupBy("search_query", F.hour("created_at").alias("search_hour"), *apart)
+        .agg(*counts)
+        .groupBy("search_query", "search_hour")
         .agg(
             F.sum("searches").alias("search_count"),
             F.count_distinct("user_id").alias("unique_searchers"),
@@ -133,8 +127,8 @@ def search_effectiveness(
     return top_rows(
         report,
         top,
-        F.col("search_count").desc(),
-        F.col("click_through_rate").desc(),
+        F.col("search_count").desc_nulls_first(),
+        F.col("click_through_rate").desc_nulls_first(),
         F.col("search_query"),
         F.col("search_hour"),
     )
