@@ -134,7 +134,8 @@ def _header(row: dict, digest: str) -> bytes:
 class ArchiveWriter:
     """Writes chunk rows into archives of one task; gives (archive, offset, length) when a record ends."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, archive_bytes: int = ARCHIVE_BYTES):
+        self.archive_bytes = archive_bytes
         self.store, self.folder = fs.FileSystem.from_uri(folder)
         self.store.create_dir(self.folder)
         self.sink, self.name, self.at, self.begun = None, "", 0, 0
@@ -146,7 +147,7 @@ class ArchiveWriter:
 
     def add(self, row: dict) -> tuple[str, int, int] | None:
         if row["chunk"] == 0:
-            if self.sink is None or self.at > ARCHIVE_BYTES:
+            if self.sink is None or self.at > self.archive_bytes:
                 self.close()
                 self.name, self.at = f"{uuid.uuid4().hex}.warc.gz", 0
                 self.sink = self.store.open_output_stream(f"{self.folder}/{self.name}", compression=None)
@@ -167,14 +168,14 @@ class ArchiveWriter:
             self.sink.close()
 
 
-def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
+def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write chunk rows and return the stored manifest: archive, offset and length of each record."""
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
         for batch in slices(batches):
             for row in batch.to_pylist():
-                writer = writer or ArchiveWriter(folder)
+                writer = writer or ArchiveWriter(folder, archive_bytes)
                 if (record := writer.add(row)) is not None:
                     done.append(record)
             if len(done) >= 10_000:
@@ -287,10 +288,12 @@ def _chunks(rows: list[Chunk]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_CHUNKS)], schema=_ARROW_CHUNKS)
 
 
-def archived(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0) -> tuple[DataFrame, str]:
+def archived(
+    pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES
+) -> tuple[DataFrame, str]:
     """Write one record per page; the manifest and the folder of the archives."""
     folder = shared_folder(pages.sparkSession, "warc")
-    return write_archives(chunked(classify(pages, key, payload, min_bytes)), folder), folder
+    return write_archives(chunked(classify(pages, key, payload, min_bytes)), folder, archive_bytes), folder
 
 
 def page_records(pages: DataFrame) -> DataFrame:
