@@ -191,30 +191,47 @@ def _width(df: DataFrame, column: str) -> Column:
     return F.lit(fixed.get(type(kind), 8))
 
 
-def column_profile(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    *,
-    exact: bool = False,
-    order_by: str | None = None,
-) -> DataFrame:
-    """Distinct values, share of nulls and mean width per column, in one pass.
+def _key(df: DataFrame, column: str) -> Column:
+    """Text that tells the values of a column apart; long values by their digest, and zero has no sign."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.md5(c.cast("binary"))
+    return (c + F.lit(0.0) if isinstance(kind, (T.DoubleType, T.FloatType)) else c).cast("string")
+
+
+def _exact_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every value of every column is one narrow row, counted per column and value before the shuffle."""
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), _key(df, c).alias("key"), _width(df, c).cast("double").alias("width"))
+        for c in columns
+    ]
+    values = (
+        df.select(F.explode(F.array(*entries)).alias("e"))
+        .groupBy("e.column_name", "e.key")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("e.width").alias("width"))
+    )
+    known = F.when(F.col("key").isNotNull(), F.col("rows"))
+    profile = values.groupBy("column_name").agg(
+        F.count("key").alias("distinct_values"),
+        ((F.sum("rows") - F.coalesce(F.sum(known), F.lit(0))) / F.sum("rows")).alias("null_fraction"),
+        (F.sum(known * F.col("width")) / F.sum(known)).alias("avg_column_width"),
+    )
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(profile, "column_name", "left").withColumn(
+        "distinct_values", F.coalesce("distinct_values", F.lit(0)).cast("bigint")
+    )
 
-    Distinct counts are sketches unless ``exact``. With ``order_by`` the profile
-    also has the correlation between the rank of a row in that order and the
-    rank of the value; without it that column is null.
-    """
-    columns = list(columns or df.columns)
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+
+def _sketched_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All measures of all columns in one aggregation, with sketches of the distinct counts."""
     measures = []
     for i, c in enumerate(columns):
         column = F.col(c)
         measures += [
-            distinct(column).alias(f"d{i}"),
+            F.approx_count_distinct(column).alias(f"d{i}"),
             F.avg(F.when(column.isNull(), 1.0).otherwise(0.0)).alias(f"n{i}"),
             F.avg(F.when(column.isNotNull(), _width(df, c)).cast("double")).alias(f"w{i}"),
         ]
-    wide = df.agg(*measures)
     entries = F.array(
         *(
             F.struct(
@@ -226,7 +243,24 @@ def column_profile(
             for i, c in enumerate(columns)
         )
     )
-    profile = wide.select(F.inline(entries))
+    return df.agg(*measures).select(F.inline(entries))
+
+
+def column_profile(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    exact: bool = False,
+    order_by: str | None = None,
+) -> DataFrame:
+    """Distinct values, share of nulls and mean width per column.
+
+    Distinct counts are sketches unless ``exact``. With ``order_by`` the profile
+    also has the correlation between the rank of a row in that order and the
+    rank of the value; without it that column is null.
+    """
+    columns = list(columns or df.columns)
+    profile = (_exact_profile if exact else _sketched_profile)(df, columns)
     if order_by is None:
         return profile.withColumn("column_correlation", F.lit(None).cast("double"))
     correlations = None

@@ -70,6 +70,15 @@ add(
         from (select {_MEASURES} from v_requests) m, ({_p95('')}) p""",
     doubles=_DOUBLES,
 )
+_PER_ENDPOINT = f"""select m.*, case when m.total > 20 then p.p95 else m.avg_latency end as p95_latency
+        from (select endpoint, {_MEASURES} from v_requests group by endpoint) m
+        join ({_p95('endpoint')}) p on p.endpoint = m.endpoint"""
+add(
+    "l04_default_p95_per_endpoint",
+    lambda t: requests.latency_summary(t.v_requests, "endpoint"),
+    _PER_ENDPOINT,
+    doubles=_DOUBLES,
+)
 # A coarse sketch, so that the bracket is in use at small scale as well.
 add(
     "l04_exact_p95",
@@ -81,9 +90,7 @@ add(
 add(
     "l04_exact_p95_per_endpoint",
     lambda t: requests.latency_summary(t.v_requests, "endpoint", accuracy=200),
-    f"""select m.*, case when m.total > 20 then p.p95 else m.avg_latency end as p95_latency
-        from (select endpoint, {_MEASURES} from v_requests group by endpoint) m
-        join ({_p95('endpoint')}) p on p.endpoint = m.endpoint""",
+    _PER_ENDPOINT,
     doubles=_DOUBLES,
 )
 
@@ -113,22 +120,24 @@ add(
        from v_requests group by endpoint""",
     doubles="avg_latency",
 )
-# Short blocks, so that windows cross their borders at small scale as well.
-add(
-    "l06_rolling_failure_rate",
-    lambda t: requests.rolling_failure_rate(
-        t.v_requests.withColumnRenamed("endpoint", "service"), threshold=30.0, block=64
-    ),
-    """select service, ts, request_id, failures * 10.0 as failure_rate, failures >= 3 as breached
+_ROLLED = """select service, ts, request_id, failures * 10.0 as failure_rate, failures >= 3 as breached
        from (select endpoint as service, ts, request_id,
                     row_number() over (partition by endpoint order by ts, request_id) as place,
                     sum(case when status in ('failed', 'fallback') then 1 else 0 end) over (
                         partition by endpoint order by ts, request_id
                         rows between 9 preceding and current row) as failures
              from v_requests) rolled
-       where place >= 10""",
-    doubles="failure_rate",
-)
+       where place >= 10"""
+# Short blocks as well, so that windows cross their borders at small scale.
+for _name, _options in (("l06_default_failure_rate", {}), ("l06_rolling_failure_rate", {"block": 64})):
+    add(
+        _name,
+        lambda t, options=_options: requests.rolling_failure_rate(
+            t.v_requests.withColumnRenamed("endpoint", "service"), threshold=30.0, **options
+        ),
+        _ROLLED,
+        doubles="failure_rate",
+    )
 add(
     "l07_service_dependencies",
     lambda t: requests.service_dependencies(t.v_spans),

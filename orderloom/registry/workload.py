@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from orderloom.operators import workload
 from orderloom.registry.core import Registry
 
@@ -162,6 +164,35 @@ for _name, _table, _column, _order in (
         doubles="column_correlation",
     )
 
+add(
+    "w12_profile_with_order",
+    lambda t: workload.column_profile(t.v_orders, ["total_amount", "user_id"], exact=True, order_by="created_at"),
+    " union all ".join(
+        f"""select '{c}' as column_name, count(distinct {c}) as distinct_values, 0.0 as null_fraction,
+                   8.0 as avg_column_width, ({_correlation_sql("v_orders", c, "created_at")}) as column_correlation
+            from v_orders"""
+        for c in ("total_amount", "user_id")
+    ),
+    doubles="null_fraction avg_column_width column_correlation",
+)
+
+
+def _near_sketch(t):
+    """Per column: whether the sketched number of values is within a fifth of the exact one; shares and widths as they are."""
+    columns = list(_PROFILED)
+    sketch = workload.column_profile(t.v_views, columns).withColumnRenamed("distinct_values", "sketched")
+    exact = workload.column_profile(t.v_views, columns, exact=True).select("column_name", "distinct_values")
+    near = F.abs(F.col("sketched") - F.col("distinct_values")) <= F.col("distinct_values") / 5
+    return sketch.join(exact, "column_name").select("column_name", near.alias("near"), "null_fraction", "avg_column_width")
+
+
+add(
+    "w12_sketched_profile",
+    _near_sketch,
+    f"""select column_name, true as near, null_fraction, avg_column_width
+        from ({_profile_sql("v_views", _PROFILED)}) profile""",
+    doubles="null_fraction avg_column_width",
+)
 add(
     "w13_selective_columns",
     lambda t: workload.selective_columns(
