@@ -48,12 +48,10 @@ add(
     named=(_ORDER_ROWS, _LAST),
 )
 
-# Every third line of an order has lost its key.
-_KEYLESS = F.when(F.col("seq") % 3 != 0, F.col("id")).alias("id")
-
-
 def _upserted_with_rejects(t):
-    found = changes.upsert(t.v_orders, _order_rows(t).withColumn("id", _KEYLESS))
+    # Every third change has lost its key.
+    keyless = F.when(F.col("seq") % 3 != 0, F.col("id"))
+    found = changes.upsert(t.v_orders, _order_rows(t).withColumn("id", keyless))
     columns = [c for c in found.snapshot.columns if c != "id"]
     return found.snapshot.select(F.lit("row").alias("outcome"), "id", *columns).unionByName(
         found.rejects.select(F.lit("reject").alias("outcome"), "id", *columns)

@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest data set."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -32,3 +34,9 @@ def test_entry(spark):
 def test_query(spark, connection, name):
     found = differences(spark, connection, DIRECTORY, name, QUERIES[name], SQL[name])
     assert [f for f in found if f != "no rows"] == []
+
+
+def test_names_and_sql_need_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
