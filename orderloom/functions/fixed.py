@@ -71,3 +71,17 @@ ROWS = {
     "views": 500_000,
     "searches": 300_000,
 }
+
+# Titles and texts of reviews with four or five stars, with three, and with fewer.
+REVIEW_TITLES = ("Great product", "Average product", "Poor product")
+REVIEW_TEXTS = (
+    "This product is amazing. I love it!",
+    "This product is okay. I like it!",
+    "This product is disappointing. I hate it!",
+)
+
+PASSWORD = "hashed_password"
+IMAGE_URL = "https://example.com/images/%d_%d.jpg"
+
+# Priorities of queries by more than so many calls of more than so many milliseconds; all others are LOW.
+PRIORITIES = (("CRITICAL", 1000, 100), ("HIGH", 500, 50), ("MEDIUM", 100, 10))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderloom.functions import fixed
 from orderloom.functions.scalars import (
     Day,
     flag_sum,
@@ -162,6 +163,9 @@ def query_patterns(log: DataFrame, *, min_calls: int = 10, top: int = 20) -> Dat
 def impact_ranking(log: DataFrame, *, min_calls: int = 10) -> DataFrame:
     """Queries by calls times mean time, with a priority."""
     calls, mean = F.col("calls"), F.col("mean_time")
+    priority = F.lit("LOW")
+    for label, least_calls, least_mean in reversed(fixed.PRIORITIES):
+        priority = F.when((calls > least_calls) & (mean > least_mean), label).otherwise(priority)
     return (
         log.where(calls > min_calls)
         .select(
@@ -171,11 +175,7 @@ def impact_ranking(log: DataFrame, *, min_calls: int = 10) -> DataFrame:
             mean.alias("avg_duration"),
             F.col("total_time").alias("total_duration"),
             (calls * mean).alias("impact_score"),
-            F.when((calls > 1000) & (mean > 100), "CRITICAL")
-            .when((calls > 500) & (mean > 50), "HIGH")
-            .when((calls > 100) & (mean > 10), "MEDIUM")
-            .otherwise("LOW")
-            .alias("optimization_priority"),
+            priority.alias("optimization_priority"),
         )
         .orderBy(F.col("impact_score").desc_nulls_first(), "queryid")
     )

@@ -112,7 +112,7 @@ add(
 add(
     "g03_users",
     lambda t: synthetic.users(_ids(t, "customer", "c_custkey")),
-    f"""select id, {_EMAIL} as email, 'hashed_password' as password, {_NAME} as name, {_PHONE} as phone,
+    f"""select id, {_EMAIL} as email, '{fixed.PASSWORD}' as password, {_NAME} as name, {_PHONE} as phone,
                {_day('user.birth', 1980, 2005)} as birth_date,
                {_choice('user.gender', fixed.GENDERS)} as gender,
                {_choice('user.status', fixed.USER_STATES)} as status,
@@ -179,7 +179,7 @@ add(
     "g04_product_images",
     lambda t: synthetic.product_images(_ids(t, "part", "p_partkey")),
     f"""select product_id * 5 + j as id, product_id,
-               concat('https://example.com/images/', product_id, '_', j, '.jpg') as image_url,
+               printf('{fixed.IMAGE_URL}', product_id, j) as image_url,
                concat('Image ', j, ' for ', name) as alt_text, j = 0 as is_primary
         from (select id as product_id, {_PRODUCT_NAME} as name, unnest(range({_between('image.count', 1, 5)})) as j from ids) x""",
     named=(_keys("part", "p_partkey"),),
@@ -195,11 +195,8 @@ add(
     lambda t: synthetic.reviews(
         _ids(t, "orders", "o_orderkey"), _rows(t, "customer"), _rows(t, "part")
     ),
-    f"""select *, {_by_rating('Great product', 'Average product', 'Poor product')} as title,
-               {_by_rating(
-                   'This product is amazing. I love it!',
-                   'This product is okay. I like it!',
-                   'This product is disappointing. I hate it!')} as content
+    f"""select *, {_by_rating(*fixed.REVIEW_TITLES)} as title,
+               {_by_rating(*fixed.REVIEW_TEXTS)} as content
         from (select id, {_draw('review.product')} % {_PRODUCTS} + 1 as product_id,
                      {_draw('review.user')} % {_USERS} + 1 as user_id,
                      cast({_between('review.rating', 1, 5)} as int) as rating,

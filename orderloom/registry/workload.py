@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orderloom.functions import fixed
 from orderloom.operators import workload
 from orderloom.registry.core import Registry
 
@@ -98,14 +99,15 @@ add(
         from v_query_log where calls > 2 group by 1 order by pattern_count desc, query_pattern limit 20""",
     doubles="avg_pattern_time total_pattern_time",
 )
+_PRIORITIES = " ".join(
+    f"when calls > {calls} and mean_time > {mean} then '{label}'" for label, calls, mean in fixed.PRIORITIES
+)
 add(
     "w11_impact_ranking",
     lambda t: workload.impact_ranking(t.v_query_log, min_calls=2),
-    """select query_id as queryid, substring(query, 1, 100) as query_sample, calls as frequency,
+    f"""select query_id as queryid, substring(query, 1, 100) as query_sample, calls as frequency,
               mean_time as avg_duration, total_time as total_duration, calls * mean_time as impact_score,
-              case when calls > 1000 and mean_time > 100 then 'CRITICAL'
-                   when calls > 500 and mean_time > 50 then 'HIGH'
-                   when calls > 100 and mean_time > 10 then 'MEDIUM' else 'LOW' end as optimization_priority
+              case {_PRIORITIES} else 'LOW' end as optimization_priority
        from v_query_log where calls > 2""",
     doubles="avg_duration total_duration impact_score",
 )

@@ -104,7 +104,7 @@ def users(rows: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.select(
         key,
         email(seed, key).alias("email"),
-        F.lit("hashed_password").alias("password"),
+        F.lit(fixed.PASSWORD).alias("password"),
         person_name(seed, key).alias("name"),
         phone(seed, key).alias("phone"),
         day_in(draw(seed, "user.birth", key), 1980, 2005).alias("birth_date"),
@@ -198,7 +198,7 @@ def product_images(rows: DataFrame, seed: int = SEED) -> DataFrame:
     ).select(
         (key * 5 + j).alias("id"),
         key,
-        F.format_string("https://example.com/images/%d_%d.jpg", key, j).alias("image_url"),
+        F.format_string(fixed.IMAGE_URL, key, j).alias("image_url"),
         F.format_string("Image %d for %s", j, F.col("name")).alias("alt_text"),
         (j == 0).alias("is_primary"),
     )
@@ -216,12 +216,8 @@ def reviews(rows: DataFrame, user_count: Size, product_count: Size, seed: int =
         (draw(seed, "review.product", key) % _size(product_count) + 1).alias("product_id"),
         (draw(seed, "review.user", key) % _size(user_count) + 1).alias("user_id"),
         rating.alias("rating"),
-        by_rating("Great product", "Average product", "Poor product").alias("title"),
-        by_rating(
-            "This product is amazing. I love it!",
-            "This product is okay. I like it!",
-            "This product is disappointing. I hate it!",
-        ).alias("content"),
+        by_rating(*fixed.REVIEW_TITLES).alias("title"),
+        by_rating(*fixed.REVIEW_TEXTS).alias("content"),
         chance(draw(seed, "review.verified", key), 70).alias("is_verified_purchase"),
     )
 
