@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.common import stored
 
-_MOST_ROUNDS = 60
+#: Rounds grow with the square of the logarithm of the nodes; so many are never needed.
+_MOST_ROUNDS = 200
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,12 +41,13 @@ def components(edges: DataFrame) -> DataFrame:
     Edges may repeat and have either direction; nulls and loops count for nothing.
     """
     now = stored(_proper(edges), "edges")
-    seen = _state(now)
-    for _ in range(_MOST_ROUNDS if seen[0] else 0):
+    seen, state = None, _state(now)
+    rounds = 0
+    while state != seen and state[0]:
+        if rounds == _MOST_ROUNDS:
+            raise RuntimeError("the components of the edges did not settle")
         now = stored(_small_star(stored(_large_star(now), "large")), "stars")
-        if (state := _state(now)) == seen:
-            break
-        seen = state
+        seen, state, rounds = state, _state(now), rounds + 1
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(now.select("b", "b").distinct())
 

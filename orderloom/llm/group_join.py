@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.common import slices, stored
 from orderloom.llm.components import components
 from orderloom.llm.shingles import shingle_sets
-from orderloom.llm.vectors import column, groups
+from orderloom.llm.vectors import groups
 
 PERCENT = 80
 BANDS, ROWS = 8, 3
