@@ -7,14 +7,18 @@ length. Rounds of neighbours-of-neighbours joins then refine the lists: every
 node gathers its neighbours in both directions, compares them with each other,
 and each keeps the ``width`` nearest it has met.
 
-After every round the links found so far are audited: ``AUDITED`` nodes are
-compared with all vectors by brute force. While their recall is below ``RECALL``
-another round follows, with lists twice as long.
-
 A list in which every entry is a link is saturated: more links may not have
-fitted. Saturated lists are enlarged to the whole connected group of links,
-which is compared in pairs of blocks and counted, not stored, so that groups of
-any size keep every link at bounded memory.
+fitted. The nodes with saturated lists are first compared with those of every
+other connected group: they are cut into blocks with a centre and a radius, all
+centres are compared, and where the radii allow a link the members are compared,
+so no link between two groups is left out. Then every group with a saturated
+list is compared as a whole in pairs of blocks and its links counted, not stored,
+so that groups of any size keep every link at bounded memory.
+
+After every round the result so far is audited: ``AUDITED`` nodes are compared
+with all vectors by brute force, and a true link counts as met if it is listed or
+lies inside a group that is compared as a whole. While their recall is below
+``RECALL`` another round follows, with lists twice as long.
 
 Vectors that are null, zero or hold null or non-finite components, and those of
 another than the most frequent length, link with nothing and are kept. Rows that
@@ -47,6 +51,8 @@ MOST_ROUNDS = 6
 #: Neighbours of one direction that a node compares in a round.
 GATHERED = 2
 PAIR_BLOCK = 1024
+#: Centres that are compared with each other in a task.
+CENTRES = 4096
 
 _LISTS = "vec_id long, near array<struct<cosine:double,other:long>>"
 _PAIRS = "vec_id long, other long, cosine double"
@@ -142,44 +148,142 @@ def refine(nodes: DataFrame, lists: DataFrame, width: int) -> DataFrame:
     return _top(forward.union(local.select("vec_id", "other", "cosine")), width)
 
 
-def audit(nodes: DataFrame, lists: DataFrame, threshold: float = THRESHOLD) -> tuple[float, int]:
+def _blocks(members: DataFrame) -> DataFrame:
+    """members with the last block of their component and a block of about ``PAIR_BLOCK`` rows by a hash of vec_id."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    last = F.floor((F.col("size") - 1) / PAIR_BLOCK).cast("int")
+    return members.join(sizes, "component").withColumn("last", last).withColumn(
+        "block", F.pmod(F.xxhash64("vec_id"), F.col("last") + 1).cast("int")
+    )
+
+
+def _components_that_link(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of components, a < b, with a link between their members, exact; members have component, vec_id, vector."""
+    if members.select("component").distinct().limit(2).count() < 2:
+        return members.select(F.col("component").alias("a"), F.col("component").alias("b")).limit(0)
+    dealt = stored(_blocks(members).select("component", "block", "vec_id", "vector"), "open")
+
+    def enclose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["component", "block"]):
+            rows = unit(matrix(group))
+            centre = rows.mean(axis=0)
+            centre = unit(centre[None])[0] if centre.any() else rows[0]
+            radius = float(np.arccos(np.clip(rows @ centre, -1, 1)).max())
+            first = group.slice(0, 1)
+            yield pa.RecordBatch.from_arrays(
+                [first["component"].combine_chunks(), first["block"].combine_chunks(), pa.array([centre.tolist()]), pa.array([radius])],
+                names=["component", "block", "vector", "radius"],
+            )
+
+    balls = dealt.repartition("component", "block").sortWithinPartitions("component", "block")
+    balls = stored(balls.mapInArrow(enclose, "component long, block int, vector array<double>, radius double"), "balls")
+    last = max(0, -(-balls.count() // CENTRES) - 1)
+    met = balls.withColumn("chunk", F.pmod(F.xxhash64("component", "block"), F.lit(last + 1)).cast("int"))
+    met = met.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(last)))).select(
+        F.least("chunk", "partner").alias("low"), F.greatest("chunk", "partner").alias("high"), "chunk", "component", "block", "vector", "radius"
+    )
+    reach = float(np.arccos(threshold)) + 1e-6  # angles are rounded
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["low", "high"]):
+            rows, radius, chunk = matrix(group), column(group, "radius"), column(group, "chunk")
+            component, block = column(group, "component"), column(group, "block")
+            within = bool(group["low"][0].as_py() == group["high"][0].as_py())
+            for at in range(0, len(rows), 256):
+                own = slice(at, at + 256)
+                angle = np.arccos(np.clip(rows[own] @ rows.T, -1, 1))
+                near = (angle <= radius[own][:, None] + radius[None] + reach) & (component[own][:, None] < component[None])
+                if not within:
+                    near &= chunk[own][:, None] != chunk[None]
+                i, j = np.nonzero(near)
+                i += at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in ((component[i], pa.int64()), (block[i], pa.int32()), (component[j], pa.int64()), (block[j], pa.int32()))],
+                    names=keys,
+                )
+
+    keys = ["a", "block_a", "b", "block_b"]
+    near = met.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(meet, "a long, block_a int, b long, block_b int")
+    sides = F.array(*(F.struct(F.col(c).alias("component"), F.col(f"block_{c}").alias("block")) for c in "ab"))
+    asked = stored(near, "near").withColumn("side", F.explode(sides)).select(*keys, "side.component", "side.block")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, keys):
+            rows, first = unit(matrix(group)), column(group, "component") == group["a"][0].as_py()
+            others = rows[~first].T
+            if any((rows[first][at : at + 256] @ others >= threshold).any() for at in range(0, int(first.sum()), 256)):
+                yield pa.RecordBatch.from_arrays([group[c].slice(0, 1).combine_chunks() for c in "ab"], names=["a", "b"])
+
+    pairs = asked.join(dealt.drop("vec_id"), ["component", "block"]).repartition(*keys).sortWithinPartitions(*keys)
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
+def grouped(nodes: DataFrame, lists: DataFrame, width: int, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The listed links, and the nodes with component and whether all links inside it are to be counted.
+
+    ``lists`` were made with that width. A node without links has no component.
+    """
+    saturated = (F.size("near") >= width) & (F.element_at("near", -1)["cosine"] >= threshold)
+    listed = lists.select("vec_id", saturated.alias("saturated"), F.explode("near").alias("n"))
+    edges = stored(
+        listed.where(F.col("n.cosine") >= threshold).select(F.col("vec_id").alias("a"), F.col("n.other").alias("b"), "saturated"), "links"
+    )
+    named = stored(components(edges), "components").withColumnRenamed("id", "vec_id")
+    full = edges.where("saturated").select(F.col("a").alias("vec_id")).distinct().join(named, "vec_id")
+    across = _components_that_link(full.join(nodes.select("vec_id", "vector"), "vec_id"), threshold)
+    merged = components(across).select(F.col("id").alias("component"), F.col("component").alias("into"))
+    named = stored(
+        named.join(merged, "component", "left").select("vec_id", F.coalesce("into", "component").alias("component")), "merged"
+    )
+    whole = full.select("vec_id").join(named, "vec_id").select("component").distinct().withColumn("whole", F.lit(True))
+    members = named.join(whole, "component", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    labelled = nodes.join(members, "vec_id", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    return edges, stored(labelled, "members")
+
+
+def audit(edges: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -> tuple[float, int]:
     """Recall of links over some nodes, by a hash of their identifier, and the number of true links."""
-    asked = bounded_sample(nodes.select("vec_id", "vector"), AUDITED, "vec_id").collect()
-    ids, wanted = np.array([r.vec_id for r in asked]), unit(np.array([r.vector for r in asked]))
+    known = labelled.select("vec_id", "vector", "whole", F.coalesce("component", "vec_id").alias("component"))
+    asked = bounded_sample(known, AUDITED, "vec_id").toArrow()
+    ids, wanted = column(asked, "vec_id"), unit(matrix(asked))
+    open_group = np.where(column(asked, "whole"), column(asked, "component"), -1)
+    in_group = column(asked, "whole").astype(bool)
 
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8192):
-            others = column(batch, "vec_id")
-            cosine = wanted @ unit(matrix(batch)).T
-            at, place = np.nonzero((cosine >= threshold) & (ids[:, None] != others[None]))
-            yield _pairs([(ids[at], others[place], cosine[at, place])])
-
-    true = nodes.mapInArrow(linked, _PAIRS).groupBy("vec_id").agg(F.count(F.lit(1)).alias("links"))
-    found = lists.select("vec_id", F.size(F.filter("near", lambda n: n["cosine"] >= threshold)).alias("found"), F.size("near").alias("listed"))
-    # A saturated list is enlarged later, so it counts as whole.
-    met = F.when(F.col("found") == F.col("listed"), F.col("links")).otherwise(F.least("found", "links"))
-    row = true.join(found, "vec_id", "left").agg(F.sum(F.coalesce(met, F.lit(0))).alias("met"), F.sum("links").alias("links")).first()
+        for batch in slices(batches, 2048):
+            others, component, rows = column(batch, "vec_id"), column(batch, "component"), unit(matrix(batch)).T
+            for at in range(0, len(ids), 1024):
+                own = slice(at, at + 1024)
+                links = (wanted[own] @ rows >= threshold) & (ids[own][:, None] != others[None])
+                inside = links & in_group[own][:, None] & (open_group[own][:, None] == component[None])
+                met, (i, j) = inside.sum(axis=1), np.nonzero(links & ~inside)
+                some = np.flatnonzero(met)
+                columns = (np.r_[ids[own][some], ids[own][i]], np.r_[ids[own][some], others[j]], np.r_[met[some], np.ones(len(i))])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["a", "b", "links"])
+
+    # Those inside a group that is compared as a whole are counted, under the node itself.
+    true = stored(known.mapInArrow(linked, "a long, b long, links long"), "audit")
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().withColumn("listed", F.lit(True))
+    met = F.when(F.col("listed") | (F.col("a") == F.col("b")), F.col("links")).otherwise(0)
+    row = true.join(both, ["a", "b"], "left").agg(F.sum(met).alias("met"), F.sum("links").alias("links")).first()
     return ((row["met"] / row["links"]) if row["links"] else 1.0), row["links"] or 0
 
 
-def neighbour_graph(nodes: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
-    """Refined lists and their width; ``nodes`` is a stored table of vec_id and vector."""
+def linked_nodes(nodes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Links and nodes as ``grouped`` gives them, from refined lists; ``nodes`` is a stored table."""
     lists = stored(first_lists(nodes, width), "lists")
     for _ in range(MOST_ROUNDS):
         lists = stored(refine(nodes, lists, width), "lists")
-        if audit(nodes, lists)[0] >= RECALL:
+        found = grouped(nodes, lists, width, threshold)
+        if audit(*found, threshold)[0] >= RECALL:
             break
         width *= 2
-    return lists, width
+    return found
 
 
 def _counted_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     """Links of every member within its component, weighted by copies; members have component, vec_id, vector, copies."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    last = F.floor((F.col("size") - 1) / PAIR_BLOCK).cast("int")
-    dealt = members.join(sizes, "component").select(
-        "component", "vec_id", "vector", "copies", last.alias("last"), F.pmod(F.xxhash64("vec_id"), last + 1).cast("int").alias("block")
-    )
+    dealt = _blocks(members)
     paired = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("last")))).select(
         "component", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "vec_id", "copies", "vector"
     )
@@ -212,32 +316,17 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, width:
         return rows.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
-    lists, width = neighbour_graph(nodes, width)
-    saturated = (F.size("near") >= width) & (F.element_at("near", -1)["cosine"] >= threshold)
-    listed = lists.select("vec_id", saturated.alias("saturated"), F.explode("near").alias("n"))
-    edges = stored(
-        listed.where(F.col("n.cosine") >= threshold).select(F.col("vec_id").alias("a"), F.col("n.other").alias("b"), "saturated"), "links"
-    )
-    named = stored(components(edges), "components")
-    open_groups = (
-        edges.where("saturated").select(F.col("a").alias("id")).distinct().join(named, "id").select("component").distinct()
-    )
-    members = named.join(open_groups.withColumn("whole", F.lit(True)), "component", "left").select(
-        F.col("id").alias("vec_id"), "component", F.coalesce("whole", F.lit(False)).alias("whole")
-    )
-    members = stored(members.join(nodes.select("vec_id", "copies", "vector"), "vec_id"), "members")
-    whole = _counted_in_blocks(members.where("whole").drop("whole"), threshold)
+    edges, labelled = linked_nodes(nodes, width, threshold)
+    whole = _counted_in_blocks(labelled.where("whole").select("component", "vec_id", "vector", "copies"), threshold)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     few = (
-        both.join(members.where("not whole").select(F.col("vec_id").alias("b"), "copies"), "b")
+        both.join(labelled.where("not whole").select(F.col("vec_id").alias("b"), "copies"), "b")
         .groupBy("a")
         .agg(F.sum("copies").alias("links"))
         .select(F.col("a").alias("vec_id"), "links")
     )
     links = whole.union(few)
-    answers = nodes.select("content", "vec_id", "copies").join(links, "vec_id", "left").join(
-        members.select("vec_id", "component"), "vec_id", "left"
-    )
+    answers = labelled.select("content", "vec_id", "copies", "component").join(links, "vec_id", "left")
     answers = stored(
         answers.select(
             "content",

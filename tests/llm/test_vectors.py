@@ -67,6 +67,23 @@ def test_near_duplicates_equal_brute_force(make_vectors, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("centres", [4096, 2])
+def test_groups_whose_lists_are_full_are_linked_with_each_other(make_vectors, monkeypatch, centres):
+    """Three tight groups, the second linked with both others; every list of ten holds its own group only."""
+    monkeypatch.setattr(nn_descent, "CENTRES", centres, raising=False)
+    draw = np.random.default_rng(8)
+    axes = np.linalg.qr(draw.normal(size=(16, 16)))[0]
+    turn = np.arccos(0.92)
+    middles = [np.cos(k * turn) * axes[0] + np.sin(k * turn) * axes[1] for k in range(3)] + list(axes[2:5])
+    points = np.vstack([m + 0.004 * draw.normal(size=(30, 16)) for m in middles])
+    rows = list(enumerate(points.astype(np.float32).tolist()))
+    wanted = plain_links(rows)
+    assert {c for _, c in wanted.values()} == {0, 90, 120, 150} and wanted[0][0] == 59 and wanted[30][0] == 89
+    found = nn_descent.near_duplicates(make_vectors(rows)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == wanted
+    assert sum(r.kept for r in found) == 4
+
+
 def test_near_duplicates_of_odd_tables(make_vectors):
     assert nn_descent.near_duplicates(make_vectors([])).count() == 0
     only_bad = nn_descent.near_duplicates(make_vectors(list(enumerate(BAD[:6])))).collect()
