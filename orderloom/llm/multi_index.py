@@ -233,11 +233,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _run_places(starts: np.ndarray) -> np.ndarray:
+    """The place of every row in its run; ``starts`` marks the first rows."""
+    first = np.flatnonzero(starts)
+    return np.arange(len(starts)) - np.repeat(first, np.diff(np.r_[first, len(starts)]))
+
+
+def _needed(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that some query can need.
+
+    Of equal vectors those with the smallest identifiers: k repeats of one, since no query takes more, and 2 k
+    rows, since a query leaves out the rows of one identifier.
+    """
+    packed = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+    kind = np.unique(packed, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, kind))
+    by_kind, by_id = kind[order], ids[order]
+    order = order[_run_places(np.r_[True, (by_kind[1:] != by_kind[:-1]) | (by_id[1:] != by_id[:-1])]) < k]
+    by_kind = kind[order]
+    return np.sort(order[_run_places(np.r_[True, by_kind[1:] != by_kind[:-1]]) < 2 * k])
+
+
 def _nearest(rows: pa.Table, asks: pa.Table, k: int) -> pa.RecordBatch:
-    """The k nearest of a shard's rows in the cells that each query visits, with exact distances."""
+    """The k nearest of a shard's rows in the cells that each query visits, with exact distances.
+
+    Rounded distances only rule out rows that k others beat by more than the rounding, so ties are all compared.
+    """
     vectors, ids = matrix(rows), column(rows, "number")
-    cells = rows["cells"].combine_chunks().flatten().to_numpy()
+    needed = _needed(vectors, ids, k)
+    cells = rows["cells"].combine_chunks().flatten().to_numpy()[needed]
+    vectors, ids = vectors[needed], ids[needed]
     known, place = np.unique(cells, return_inverse=True)
+    length = np.sqrt((vectors**2).sum(axis=1))
+    rounding = 4 * (vectors.shape[1] + 8) * np.finfo(float).eps
     out = []
     for at in range(0, asks.num_rows, 256):
         part = asks.slice(at, 256)
@@ -246,10 +274,11 @@ def _nearest(rows: pa.Table, asks: pa.Table, k: int) -> pa.RecordBatch:
         for q, own in enumerate(part["cells"].to_pylist()):
             visited[q, np.searchsorted(known, np.intersect1d(own, known))] = True
         gaps = np.where(visited[:, place] & (numbers[:, None] != ids[None]), _squared(wanted, vectors), np.inf)
-        most = min(2 * k + 8, len(ids))  # some more than asked for, as these distances are rounded
-        close = np.argpartition(gaps, most - 1, axis=1)[:, :most]
+        slack = rounding * (np.sqrt((wanted**2).sum(axis=1))[:, None] + length[None]) ** 2
+        most = min(k, len(ids))
+        bound = np.partition(gaps + slack, most - 1, axis=1)[:, most - 1]
         for q in range(len(numbers)):
-            own = close[q][np.isfinite(gaps[q, close[q]])]
+            own = np.flatnonzero(np.isfinite(gaps[q]) & (gaps[q] - slack[q] <= bound[q]))
             exact = np.sqrt(((vectors[own] - wanted[q]) ** 2).sum(axis=1))
             order = np.lexsort((ids[own], exact))[:k]
             out.append((np.full(len(order), numbers[q]), ids[own][order], exact[order]))

@@ -1,6 +1,7 @@
 """Vector operators against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from orderloom.llm import components, multi_index, nn_descent
 from pyspark.sql import types as T
@@ -130,6 +131,27 @@ def test_search_in_cells_dealt_over_shards(make_vectors, monkeypatch):
     assert {tuple(r) for r in found} == wanted
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_ties_of_a_shard_go_to_the_smallest_identifiers(seed):
+    """Most rows are copies of two vectors at one distance from the queries; some identifiers repeat."""
+    draw = np.random.default_rng(seed)
+    turned = np.repeat([[3.0, 0, 0, 4.0], [0, 3.0, 4.0, 0]], 300, axis=0)
+    x = np.vstack([turned, draw.integers(-9, 9, (200, 4)), np.tile([1.0, 1, 1, 1], (60, 1))])
+    ids = np.concatenate([draw.permutation(600), 600 + draw.integers(0, 150, 200), np.repeat([900, 901], 30)])
+    asks = {900: [1.0] * 4, 950: [0.0] * 4, 5: x[ids == 5][0].tolist()}
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    lists = {"number": ids, "vector": x.tolist(), "cells": [[1]] * len(ids)}
+    asked = {"number": np.array(list(asks)), "vector": list(asks.values()), "cells": [[1, 2]] * len(asks)}
+    found = multi_index._nearest(*(pa.table({**t, "cells": pa.array(t["cells"], pa.list_(pa.int32()))}) for t in (lists, asked)), 10)
+    wanted = []
+    for q, v in asks.items():
+        gaps = np.sqrt(((x - v) ** 2).sum(axis=1))
+        gaps[ids == q] = np.inf
+        wanted += [(q, int(ids[i]), gaps[i]) for i in np.lexsort((ids, gaps))[:10]]
+    assert list(zip(*(c.to_pylist() for c in found.columns))) == wanted
+
+
 def test_search_of_odd_tables(make_vectors):
     assert multi_index.neighbours(make_vectors([])).count() == 0
     assert multi_index.neighbours(make_vectors(list(enumerate(BAD[:6])))).count() == 0
