@@ -1,11 +1,14 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors become one node. The first neighbour lists come from sorted random
-projections: each of ``TABLES`` tables orders all vectors by a code of random
-hyperplanes, and a vector is compared with those around it in blocks of fixed
-length. Rounds of neighbours-of-neighbours joins then refine the lists: every
-node gathers its neighbours in both directions, compares them with each other,
-and each keeps the ``width`` nearest it has met.
+projections: each table orders all vectors by a code of random hyperplanes, and a
+vector is compared with those around it in blocks of fixed length. There are so
+many tables, growing with the number of nodes, that two vectors at the threshold
+share a block of some table with a chance of ``MEETING``, if vectors are spread
+evenly. Every round adds as many tables with new hyperplanes, and then a join of
+neighbours of neighbours refines the lists: every node gathers its neighbours in
+both directions, compares them with each other, and each keeps the ``width``
+nearest it has met.
 
 A list in which every entry is a link is saturated: more links may not have
 fitted. The nodes with saturated lists are first compared with those of every
@@ -15,10 +18,13 @@ so no link between two groups is left out. Then every group with a saturated
 list is compared as a whole in pairs of blocks and its links counted, not stored,
 so that groups of any size keep every link at bounded memory.
 
-After every round the result so far is audited: ``AUDITED`` nodes are compared
-with all vectors by brute force, and a true link counts as met if it is listed or
-lies inside a group that is compared as a whole. While their recall is below
-``RECALL`` another round follows, with lists twice as long.
+A round has settled if at least ``RECALL`` of the links that it leaves were known
+before it; as its tables are new ones, that holds for links however rare they
+are. The result is then audited: nodes are compared with all vectors by brute
+force, and a true link counts as met if it is listed or lies inside a group that
+is compared as a whole. Nodes are added until ``LINKS_SEEN`` true links were seen
+or ``MOST_AUDITED`` nodes were asked. Below ``RECALL`` another round follows, with
+lists twice as long.
 
 Vectors that are null, zero or hold null or non-finite components, and those of
 another than the most frequent length, link with nothing and are kept. Rows that
@@ -42,10 +48,14 @@ from orderloom.llm.vectors import column, groups, matrix, proper_vectors, unit
 
 THRESHOLD = 0.9
 WIDTH = 10
+#: At least so many tables and planes.
 TABLES = 6
 PLANES = 16
+MEETING = 0.97
 BLOCK = 256
 AUDITED = 256
+MOST_AUDITED = 16_384
+LINKS_SEEN = 500
 RECALL = 0.98
 MOST_ROUNDS = 6
 #: Neighbours of one direction that a node compares in a round.
@@ -86,22 +96,32 @@ def _nearest_within(ids: np.ndarray, unit_rows: np.ndarray, width: int) -> tuple
 
 
 def _top(pairs: DataFrame, width: int) -> DataFrame:
-    """The ``width`` nearest that each node has met, nearest first."""
-    met = F.sort_array(F.collect_set(F.struct("cosine", "other")), asc=False)
-    return pairs.groupBy("vec_id").agg(F.slice(met, 1, width).alias("near"))
+    """The ``width`` nearest that each node has met, nearest first; a cosine met twice may differ in its last digits."""
+    once = pairs.repartition("vec_id").groupBy("vec_id", "other").agg(F.max("cosine").alias("cosine"))
+    met = F.sort_array(F.collect_list(F.struct("cosine", "other")), asc=False)
+    return once.groupBy("vec_id").agg(F.slice(met, 1, width).alias("near"))
 
 
-def first_lists(nodes: DataFrame, width: int = WIDTH, seed: int = 11) -> DataFrame:
+def table_shape(total: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Tables and planes for so many nodes."""
+    bits = max(0.0, np.log2(total / (BLOCK / 2)))  # that split the nodes into half blocks
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    tables = np.log(1 - MEETING) / np.log1p(-together) if together < 1 else 1
+    return max(TABLES, int(np.ceil(tables))), min(50, max(PLANES, int(np.ceil(bits)) + 4))  # a code is exact in a double
+
+
+def first_lists(nodes: DataFrame, width: int = WIDTH, seed: int = 11, threshold: float = THRESHOLD) -> DataFrame:
     """Neighbours from sorted random projections."""
     size = len(nodes.select("vector").first()["vector"])
-    planes = np.random.default_rng(seed).normal(size=(TABLES, PLANES, size))
+    tables, directions = table_shape(nodes.count(), threshold)
+    planes = np.random.default_rng(seed).normal(size=(tables, directions, size))
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             rows = unit(matrix(batch))
-            for table in range(TABLES):
+            for table in range(tables):
                 projected = rows @ planes[table].T
-                bits = (projected[:, :-1] > 0) @ (1 << np.arange(PLANES - 1)[::-1])
+                bits = (projected[:, :-1] > 0) @ (1 << np.arange(directions - 1)[::-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(rows), table), pa.int32()), pa.array(bits + 0.5 * np.tanh(projected[:, -1]), pa.float64()), batch["vec_id"], batch["vector"]],
                     names=["table", "code", "vec_id", "vector"],
@@ -242,9 +262,20 @@ def grouped(nodes: DataFrame, lists: DataFrame, width: int, threshold: float = T
 
 
 def audit(edges: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -> tuple[float, int]:
-    """Recall of links over some nodes, by a hash of their identifier, and the number of true links."""
+    """Recall of links over some nodes, by a hash of their identifier, and the number of true links seen."""
+    total, most, asked = labelled.count(), AUDITED, 0
+    while True:
+        asked = most
+        met, links = _audited(edges, labelled, threshold, asked)
+        most = min(4 * asked, MOST_AUDITED)
+        if links >= LINKS_SEEN or asked >= min(total, MOST_AUDITED):
+            return (met / links if links else 1.0), links
+
+
+def _audited(edges: DataFrame, labelled: DataFrame, threshold: float, most: int) -> tuple[int, int]:
+    """Links met and true links of so many nodes."""
     known = labelled.select("vec_id", "vector", "whole", F.coalesce("component", "vec_id").alias("component"))
-    asked = bounded_sample(known, AUDITED, "vec_id").toArrow()
+    asked = bounded_sample(known, most, "vec_id").toArrow()
     ids, wanted = column(asked, "vec_id"), unit(matrix(asked))
     open_group = np.where(column(asked, "whole"), column(asked, "component"), -1)
     in_group = column(asked, "whole").astype(bool)
@@ -266,14 +297,32 @@ def audit(edges: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().withColumn("listed", F.lit(True))
     met = F.when(F.col("listed") | (F.col("a") == F.col("b")), F.col("links")).otherwise(0)
     row = true.join(both, ["a", "b"], "left").agg(F.sum(met).alias("met"), F.sum("links").alias("links")).first()
-    return ((row["met"] / row["links"]) if row["links"] else 1.0), row["links"] or 0
+    return row["met"] or 0, row["links"] or 0
+
+
+def known_before(before: DataFrame, after: DataFrame, width: int, threshold: float = THRESHOLD) -> float:
+    """The share of the links in lists after a round that were in those before it; saturated lists are compared elsewhere."""
+
+    def linked(lists: DataFrame, name: str) -> DataFrame:
+        near = F.filter("near", lambda n: n["cosine"] >= threshold - 1e-12)  # a cosine may differ in its last digits
+        return lists.select("vec_id", F.transform(near, lambda n: n["other"]).alias(name))
+
+    both = linked(after, "now").where((F.size("now") > 0) & (F.size("now") < width)).join(linked(before, "then"), "vec_id", "left")
+    old = F.coalesce(F.size(F.array_intersect("now", "then")), F.lit(0))
+    row = both.agg(F.sum(F.when(F.col("then").isNotNull(), old).otherwise(0)).alias("old"), F.sum(F.size("now")).alias("links")).first()
+    return row["old"] / row["links"] if row["links"] else 1.0
 
 
 def linked_nodes(nodes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links and nodes as ``grouped`` gives them, from refined lists; ``nodes`` is a stored table."""
-    lists = stored(first_lists(nodes, width), "lists")
-    for _ in range(MOST_ROUNDS):
-        lists = stored(refine(nodes, lists, width), "lists")
+    lists = stored(first_lists(nodes, width, threshold=threshold), "lists")
+    for number in range(MOST_ROUNDS):
+        fresh = first_lists(nodes, width, 12 + number, threshold)
+        met = lists.union(fresh).select("vec_id", F.explode("near").alias("n")).select("vec_id", "n.other", "n.cosine")
+        before, lists = lists, stored(refine(nodes, stored(_top(met, width), "met"), width), "lists")
+        last = number == MOST_ROUNDS - 1
+        if not last and known_before(before, lists, width, threshold) < RECALL:
+            continue
         found = grouped(nodes, lists, width, threshold)
         if audit(*found, threshold)[0] >= RECALL:
             break

@@ -85,6 +85,21 @@ def test_groups_whose_lists_are_full_are_linked_with_each_other(make_vectors, mo
     assert sum(r.kept for r in found) == 4
 
 
+def test_rare_links_are_found(make_vectors, monkeypatch):
+    """Planted pairs just above the threshold among many loose vectors, in blocks that are short for them."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 8)
+    draw = np.random.default_rng(9)
+    loose = draw.normal(size=(6000, 48))
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    aside = draw.normal(size=(150, 48))
+    aside -= (aside * loose[:150]).sum(axis=1, keepdims=True) * loose[:150]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    rows = list(enumerate(np.vstack([loose, 0.905 * loose[:150] + np.sqrt(1 - 0.905**2) * aside]).tolist()))
+    found = {r.vec_id: r.component_id for r in nn_descent.near_duplicates(make_vectors(rows)).collect()}
+    assert len(found) == len(rows)
+    assert sum(found[6000 + i] == i for i in range(150)) >= 147
+
+
 def test_near_duplicates_of_odd_tables(make_vectors):
     assert nn_descent.near_duplicates(make_vectors([])).count() == 0
     only_bad = nn_descent.near_duplicates(make_vectors(list(enumerate(BAD[:6])))).collect()
