@@ -24,7 +24,8 @@ are. The result is then audited: nodes are compared with all vectors by brute
 force, and a true link counts as met if it is listed or lies inside a group that
 is compared as a whole. Nodes are added until ``LINKS_SEEN`` true links were seen
 or ``MOST_AUDITED`` nodes were asked. Below ``RECALL`` another round follows, with
-lists twice as long.
+lists twice as long; after ``MOST_ROUNDS`` rounds the query fails rather than
+return less.
 
 Vectors that are null, zero or hold null or non-finite components, and those of
 another than the most frequent length, link with nothing and are kept. Rows that
@@ -57,7 +58,9 @@ AUDITED = 256
 MOST_AUDITED = 16_384
 LINKS_SEEN = 500
 RECALL = 0.98
-MOST_ROUNDS = 6
+MOST_ROUNDS = 24
+#: Lists grow to so many times their first length.
+WIDENED = 64
 #: Neighbours of one direction that a node compares in a round.
 GATHERED = 2
 PAIR_BLOCK = 1024
@@ -315,19 +318,19 @@ def known_before(before: DataFrame, after: DataFrame, width: int, threshold: flo
 
 def linked_nodes(nodes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links and nodes as ``grouped`` gives them, from refined lists; ``nodes`` is a stored table."""
+    widest = WIDENED * width
     lists = stored(first_lists(nodes, width, threshold=threshold), "lists")
     for number in range(MOST_ROUNDS):
         fresh = first_lists(nodes, width, 12 + number, threshold)
         met = lists.union(fresh).select("vec_id", F.explode("near").alias("n")).select("vec_id", "n.other", "n.cosine")
         before, lists = lists, stored(refine(nodes, stored(_top(met, width), "met"), width), "lists")
-        last = number == MOST_ROUNDS - 1
-        if not last and known_before(before, lists, width, threshold) < RECALL:
+        if known_before(before, lists, width, threshold) < RECALL:
             continue
         found = grouped(nodes, lists, width, threshold)
         if audit(*found, threshold)[0] >= RECALL:
-            break
-        width *= 2
-    return found
+            return found
+        width = min(2 * width, widest)
+    raise RuntimeError(f"less than {RECALL} of the links were found in {MOST_ROUNDS} rounds")
 
 
 def _counted_in_blocks(members: DataFrame, threshold: float) -> DataFrame:

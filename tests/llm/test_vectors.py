@@ -100,6 +100,13 @@ def test_rare_links_are_found(make_vectors, monkeypatch):
     assert sum(found[6000 + i] == i for i in range(150)) >= 147
 
 
+def test_a_recall_that_is_not_reached_fails(make_vectors, monkeypatch):
+    monkeypatch.setattr(nn_descent, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: (0.5, 100))
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        nn_descent.near_duplicates(make_vectors(crowd(n=80)), width=6).collect()
+
+
 def test_near_duplicates_of_odd_tables(make_vectors):
     assert nn_descent.near_duplicates(make_vectors([])).count() == 0
     only_bad = nn_descent.near_duplicates(make_vectors(list(enumerate(BAD[:6])))).collect()
