@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import bpe_codec, group_join, multi_index, nn_descent, packing, pii, quality, site_lines, token_counts, warc
+from orderloom.llm import (
+    bpe_codec,
+    collocations,
+    filter_audit,
+    group_join,
+    multi_index,
+    nn_descent,
+    packing,
+    pii,
+    quality,
+    site_lines,
+    token_counts,
+    toxicity,
+    warc,
+)
 from orderloom.llm.common import table
 
 
@@ -50,6 +64,18 @@ def op10_pattern_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"))
 
 
+def op11_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.collocations(table(spark, directory, "documents"))
+
+
+def op12_toxicity_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, directory: str) -> DataFrame:
+    return filter_audit.audit(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_near_duplicate_texts": op2_near_duplicate_texts,
@@ -61,5 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_personal_data": op9_personal_data,
     "op10_pattern_packing": op10_pattern_packing,
+    "op11_collocations": op11_collocations,
+    "op12_toxicity_scores": op12_toxicity_scores,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op4_site_lines": site_lines.SQL,
+    "op11_collocations": collocations.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
-ORACLES: dict[str, str] = {"op4_site_lines": site_lines.SQL}
