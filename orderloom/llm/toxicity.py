@@ -3,13 +3,13 @@
 Voters are word lists and patterns; each either fires on a text or does not. Some
 lists are fixed, ``LEARNT_LISTS`` more hold words and beginnings of words that mark
 toxic texts among the labelled rows. How voters fire together is summed over all
-documents, in a few hundred numbers; labels are one more voter, known on a sample
-only. The label model explains these numbers by a hidden class: the
+documents, in a few hundred numbers. The label model explains these numbers by a hidden class: the
 covariance of two voters is p (1 - p) times the product of how much oftener each
 fires on toxic texts, so the covariances are of rank one but for pairs of voters
 that depend on each other beyond the class. A rank-one fit by absolute errors
-gives every voter its rates on toxic and clean texts; what is left over gives the
-correlated pairs. The posterior of a text takes each voter that fires at its rates
+gives every voter its rates on toxic and clean texts, but for the learnt lists,
+which have those of the labelled sample; what is left over gives the correlated
+pairs. The posterior of a text takes each voter that fires at its rates
 given the one it depends on most, so dependent voters do not count twice; a voter
 that does not fire abstains, as its words may be of another language.
 
@@ -179,11 +179,12 @@ def _logistic(logits: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
-def fit_label_model(n: int, moments: np.ndarray, prior: float, start: np.ndarray, labelled: bool = False) -> LabelModel:
+def fit_label_model(n: int, moments: np.ndarray, prior: float, start: np.ndarray, anchored: np.ndarray | bool = False) -> LabelModel:
     """From the number of texts and how many of them each pair of voters fired on together.
 
     ``start`` is a first guess of each voter's correlation with the class; its sign says which class is toxic.
-    If it is ``labelled``, the labels count as one more voter, whose correlation with the class is one.
+    ``anchored`` voters keep it: those learnt from labels, which may mark a kind of toxic text, such as one
+    language, that no other voter shares, so that firing together says nothing about them.
     """
     moments = moments / max(1, n)
     means = np.diag(moments).copy()
@@ -195,9 +196,8 @@ def fit_label_model(n: int, moments: np.ndarray, prior: float, start: np.ndarray
     load = np.where(seen, start, 0.0)
     for _ in range(200):  # least absolute errors by reweighting; dependent pairs lose their weight
         weight = apart / np.maximum(np.abs(links - np.outer(load, load)), 0.01)
-        gold = labelled / np.maximum(np.abs(start - load), 0.01)
-        new = ((weight * links) @ load + gold * start) / np.maximum(weight @ load**2 + gold, 1e-9)
-        new = np.clip(np.where(seen, new, 0.0), -0.98, 0.98)
+        new = (weight * links) @ load / np.maximum(weight @ load**2, 1e-9)
+        new = np.clip(np.where(seen, np.where(anchored, start, new), 0.0), -0.98, 0.98)
         if np.abs(new - load).max(initial=0.0) < 1e-7:
             break
         load = 0.5 * (load + new)
@@ -348,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[Class
         balance = np.where(truth > 0, prior / truth.mean(), (1 - prior) / (1 - truth.mean())) / len(truth)
         gap, mean = fired[truth > 0].mean(axis=0) - fired[truth == 0].mean(axis=0), balance @ fired
         start = np.clip(gap * np.sqrt(prior * (1 - prior) / np.maximum(mean * (1 - mean), 1e-9)), -0.95, 0.95)
-    model = fit_label_model(*pair_moments(docs, voters), prior, start, both)
+    model = fit_label_model(*pair_moments(docs, voters), prior, start, np.array([both and name.startswith("learnt") for name in voters.names]))
     weights, bias = train(x, model.posterior(fired.astype(int), balance))
     if not len(x):
         weights, bias = _without_sample(model, before), float(np.log(prior / (1 - prior)))
