@@ -1,8 +1,10 @@
 """Running totals, ranks and quantiles that need a global order.
 
-A window over a whole group sorts it in one task. The operators here first
-aggregate per slot of the order (such as a minute), get the totals before each
-slot from those few rows, and then only work within slots.
+A window over a whole group sorts it in one task, which is the cheapest way for
+a group that fits one. The operators here store their input once, count the rows
+of each group, and take a plain window for all groups of up to ``SLOT_ROWS``. Only
+larger groups are aggregated per slot of the order (such as a minute); the totals
+before each slot come from those few rows, and windows work within slots.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.functions.scalars import BROADCAST_ROWS, bounded
+from orderloom.session import stored
 
 # A slot with more rows is cut into pieces of about this many.
 SLOT_ROWS = 2_000_000
@@ -37,6 +40,10 @@ def running_totals(
 ) -> DataFrame:
     """Add running sums and minima over the rows of each group in order.
 
+    The input is written to the shared folder and counted when this is called,
+    so what it is made of is computed once. Groups of up to ``slot_rows`` rows
+    get one window; the others go through slots, as follows.
+
     ``order`` names the columns to order by, all of them falling if
     ``descending``; together they should tell the rows of a group apart. ``slot``
     cuts the order into ranges and must not decrease along it. The values before
@@ -51,6 +58,46 @@ def running_totals(
     """
     folds = {n: (e, F.sum, F.lit(0)) for n, e in totals.items()}
     folds |= {n: (e, F.min, None) for n, e in (minima or {}).items()}
+    rows = stored(df, "ordered")
+    # One struct, unlike plain columns, joins null groups as equal.
+    group = F.struct(*by, F.lit(0).alias("_group"))
+    sizes = rows.groupBy(group.alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+    large = stored(sizes.where(F.col("_rows") > slot_rows).select("_of"), "large_groups")
+    if large.isEmpty():
+        return _windowed(rows, by, order, folds, descending)
+    marked = rows.withColumn("_of", group)
+    few = marked.join(large, "_of", "left_anti").select(*df.columns)
+    many = marked.join(large, "_of", "left_semi").select(*df.columns)
+    return _windowed(few, by, order, folds, descending).unionByName(
+        _by_slots(many, by, slot, order, folds, descending=descending, slot_rows=slot_rows)
+    )
+
+
+def _running(by: Sequence[str], order: Sequence[str], descending: bool) -> Window:
+    return (
+        Window.partitionBy(*by)
+        .orderBy(*(F.col(c).desc() if descending else F.col(c) for c in order))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+
+def _windowed(df: DataFrame, by: Sequence[str], order: Sequence[str], folds: Mapping[str, tuple], descending: bool) -> DataFrame:
+    """The running values of groups that fit one task."""
+    within = _running(by, order, descending)
+    return df.select(*df.columns, *(fold(e).over(within).alias(n) for n, (e, fold, _) in folds.items()))
+
+
+def _by_slots(
+    df: DataFrame,
+    by: Sequence[str],
+    slot: Column,
+    order: Sequence[str],
+    folds: Mapping[str, tuple],
+    *,
+    descending: bool,
+    slot_rows: int,
+) -> DataFrame:
+    """The running values of groups of any size."""
     coarse = df.withColumn(
         "_coarse", F.struct(*by, F.coalesce(slot.cast("bigint"), F.lit(-(2**62))).alias("_slot"))
     ).withColumn("_place", F.struct(*order))
@@ -93,11 +140,7 @@ def running_totals(
     offsets = per_slot.select(
         "_key", *(fold(f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (_, fold, _) in folds.items())
     )
-    within = (
-        Window.partitionBy("_key")
-        .orderBy(*(F.col(c).desc() if descending else F.col(c) for c in order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    within = _running(["_key"], order, descending)
     inside = {f"_in_{n}": fold(e).over(within) for n, (e, fold, _) in folds.items()}
     joined = keyed(coarse, "left").withColumns(inside).join(offsets, "_key")
 
@@ -139,14 +182,17 @@ def _place_among(place: Column) -> Column:
     return before
 
 
-def value_rank(df: DataFrame, column: str, slots: int = 4096) -> DataFrame:
+def value_rank(df: DataFrame, column: str, slots: int = 4096, copies: str | None = None) -> DataFrame:
     """Rank of each distinct value of a column; equal rows share their mean rank.
 
+    ``copies`` names a column with how many rows each row stands for.
+
     Distinct values are counted and laid into slots of equal width between the
     lowest and the highest value. A slot follows from the value and these two
     alone, so it is the same in every task and every retry.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("copies"))
+    number = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(number.alias("copies"))
     ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
     shared = _shared_length("low", "high") if df.schema[column].dataType == T.StringType() else F.lit(0)
     scale = ends.select(

@@ -26,6 +26,7 @@ from orderloom.functions.scalars import (
     top_rows,
 )
 from orderloom.operators.ordered import value_rank
+from orderloom.session import stored
 
 SAMPLE_LENGTH = 100
 
@@ -263,11 +264,10 @@ def column_profile(
     profile = (_exact_profile if exact else _sketched_profile)(df, columns)
     if order_by is None:
         return profile.withColumn("column_correlation", F.lit(None).cast("double"))
+    places = stored(value_rank(df, order_by), "places")
     correlations = None
     for c in columns:
-        one = order_correlation(df, c, order_by).select(
-            F.lit(c).alias("column_name"), "column_correlation"
-        )
+        one = _correlation(df, c, order_by, places).select(F.lit(c).alias("column_name"), "column_correlation")
         correlations = one if correlations is None else correlations.unionByName(one)
     return profile.join(correlations, "column_name", "left")
 
@@ -277,22 +277,32 @@ def order_correlation(df: DataFrame, column: str, order_by: str) -> DataFrame:
 
     Ties share the mean of their ranks. Rows where either is null are left out.
     """
+    return _correlation(df, column, order_by, None)
+
+
+def _correlation(df: DataFrame, column: str, order_by: str, places: DataFrame | None) -> DataFrame:
+    """``places`` has the ranks of ``order_by`` over all its values; they hold if the column has no nulls there."""
     both = df.where(F.col(column).isNotNull() & F.col(order_by).isNotNull())
-    pairs = both.select(F.col(column).alias("value"), F.col(order_by).alias("position"))
-    ranked = (
-        pairs.groupBy("value", "position")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .join(value_rank(pairs, "value").withColumnRenamed("rank", "value_rank"), "value")
-        .join(value_rank(pairs, "position").withColumnRenamed("rank", "position_rank"), "position")
+    pairs = stored(
+        both.groupBy(F.col(column).alias("value"), F.col(order_by).alias("position")).agg(F.count(F.lit(1)).alias("copies")),
+        "pairs",
+    )
+    total = pairs.agg(F.sum("copies").alias("n")).first()["n"]
+    if places is None or df.where(F.col(order_by).isNotNull()).count() != total:
+        places = value_rank(pairs, "position", copies="copies")
+    else:
+        places = places.withColumnRenamed(order_by, "position")
+    ranked = pairs.join(value_rank(pairs, "value", copies="copies").withColumnRenamed("rank", "value_rank"), "value").join(
+        places.withColumnRenamed("rank", "position_rank"), "position"
     )
-    n, x, y = F.col("copies").cast("double"), F.col("value_rank"), F.col("position_rank")
+    weight = F.col("copies").cast("double")
     # Around the mean rank, so that the sums of squares do not cancel.
-    total = pairs.agg(((F.count(F.lit(1)) + 1) / 2.0).alias("mean")).select("mean").scalar()
-    dx, dy = x - total, y - total
+    mean = F.lit(((total or 0) + 1) / 2.0)
+    dx, dy = F.col("value_rank") - mean, F.col("position_rank") - mean
     return ranked.agg(
         (
-            F.sum(n * dx * dy)
-            / F.nullif(F.sqrt(F.sum(n * dx * dx) * F.sum(n * dy * dy)), F.lit(0.0))
+            F.sum(weight * dx * dy)
+            / F.nullif(F.sqrt(F.sum(weight * dx * dx) * F.sum(weight * dy * dy)), F.lit(0.0))
         ).alias("column_correlation")
     )
 

@@ -6,7 +6,7 @@ the library changes its settings.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +46,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     unique = spark.sql("select uuid()").first()[0]
     return f"{root.rstrip('/')}/orderloom-{purpose}-{unique}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it from there, so that several passes compute it once."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

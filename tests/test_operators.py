@@ -426,3 +426,33 @@ def test_pieces_of_a_slot_do_not_grow_with_it(spark, rows):
     )
     pieces = coarse.join(ordered._cuts(coarse, hot), "_coarse").groupBy(ordered._place_among(F.col("_place"))).count()
     assert pieces.agg(F.max("count")).first()[0] <= 2_000
+
+
+def test_running_totals_split_by_size_of_group(spark, rows):
+    """Small groups in one window and large ones by slots give the same, and small ones alone need no slots."""
+    data = [(g, i, i % 3) for g, n in ((None, 3), ("a", 5), ("b", 40), ("c", 90)) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, t long, v long").repartition(4)
+    want = []
+    for g in (None, "a", "b", "c"):
+        total = 0
+        for _, t, v in sorted(r for r in data if r[0] == g):
+            total += v
+            want.append((g, t, v, total))
+    for slot_rows in (1, 10, 60, 1000):
+        got = ordered.running_totals(df, ["g"], F.floor(F.col("t") / 4), ["t"], {"total": F.col("v")}, slot_rows=slot_rows)
+        assert rows(got) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
+
+
+def test_ordered_input_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).selectExpr("id % 7 as g", "id as t").mapInArrow(count, "g long, t long")
+    ordered.running_totals(df, ["g"], F.col("t"), ["t"], {"n": F.lit(1)}, slot_rows=3).collect()
+    assert seen.value == 100
