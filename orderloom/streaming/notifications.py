@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -102,9 +104,8 @@ def start_notifier(
         rows = session.read.schema(timed.schema).parquet(own)
         fresh = rows.where("valid").select("event.*", "event_time", "month").dropDuplicates(keys)
         if batch_id:
-            stored = session.read.schema(T.StructType([*timed.schema, T.StructField("batch", T.LongType())])).parquet(folder)
-            earlier = stored.where(F.col("valid") & (F.col("batch") < batch_id))
-            known = earlier.select("month", "event.orderId", "event.eventType", "event_time")
+            months = [row.month for row in fresh.select("month").distinct().collect()]  # one row per month
+            known = earlier_events(session, folder, timed.schema, batch_id, months)
             same = [F.equal_null(fresh[c], known[c]) for c in ("month", *keys)]
             fresh = fresh.join(known, same, "left_anti")
         pending = notifications(fresh)
@@ -123,6 +124,22 @@ def start_notifier(
     return writer.start()
 
 
+def earlier_events(
+    session: SparkSession, folder: str, schema: T.StructType, batch_id: int, months: Sequence[str | None]
+) -> DataFrame:
+    """month and keys of the accepted events of earlier batches, in these months only (null: events without a time).
+
+    The months are literals, so that the scan leaves the files of all others alone; a condition of a join would not.
+    """
+    stored = session.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(folder)
+    month = F.col("month")
+    own = month.isin([m for m in months if m is not None])
+    if None in months:
+        own = own | month.isNull()
+    earlier = stored.where((F.col("batch") < batch_id) & own & F.col("valid"))
+    return earlier.select("month", "event.orderId", "event.eventType", "event_time")
+
+
 def live_lists(sent: DataFrame, *, now: Column, ttl_days: int = TTL_DAYS) -> DataFrame:
     """Recipients whose list is alive, with the first and the last push of it.
 

@@ -246,3 +246,28 @@ def test_notifier_takes_a_repeated_event_once(spark, tmp_path):
     queue, sent = (sorted((r.orderId, r.createdAt) for r in spark.read.parquet(paths[n]).collect()) for n in ("queue", "history"))
     assert len(queue) == 2 and queue == sent
     assert spark.read.parquet(paths["rejects"]).count() == 2
+
+
+def test_only_the_months_of_a_batch_are_read(spark, tmp_path):
+    """Fifty batches of a month each; files of other months are not even opened, being no Parquet."""
+    folder = str(tmp_path / "decoded")
+    schema = None
+    for batch in range(50):
+        rows = ev.decode(raw(spark, texts([event(batch, 7, days=31 * batch)]))).withColumn("event_time", ev.event_time())
+        timed = rows.withColumn("month", F.date_format("event_time", "yyyy-MM"))
+        schema = timed.schema
+        if batch in (7, 30):
+            timed.write.partitionBy("month").parquet(f"{folder}/batch={batch}")
+        else:
+            month = (START + timedelta(days=31 * batch)).strftime("%Y-%m")
+            other = tmp_path / "decoded" / f"batch={batch}" / f"month={month}"
+            other.mkdir(parents=True)
+            (other / "part-0.parquet").write_text("not a table")
+    own = (START + timedelta(days=31 * 7)).strftime("%Y-%m")
+    known = notifications.earlier_events(spark, folder, schema, 40, [own])
+    assert [r.orderId for r in known.collect()] == [7]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "month" in filters and "batch" in filters
+    assert notifications.earlier_events(spark, folder, schema, 7, [own]).collect() == []
+    assert notifications.earlier_events(spark, folder, schema, 40, [None]).collect() == []
