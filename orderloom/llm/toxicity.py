@@ -72,9 +72,9 @@ _FIXED = {name: frozenset(words.split()) for name, words in LEXICONS.items()}
 _ALL_FIXED = frozenset().union(*_FIXED.values())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+[*@$!#]+[^\W\d_]+")
+_MASKED = re.compile(r"[*@$!#]+(?=[^\W\d_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
-_SHOUTED = re.compile(r"(?:\b[A-Z]{3,}\b\W+){4}")
+_SHOUTED = re.compile(r"[A-Z]{3,}\b\W+(?:[A-Z]{3,}\b\W+){3}")
 _EXCLAIMED = re.compile(r"[!?]{2,}")
 _ADDRESSED = re.compile(r"\b(?:you|your|youre|du|dein|deine|tu|toi|usted|eres)\s+(?:are\s+|such\s+|a\s+|an\s+|bist\s+|es\s+|un\s+|une\s+|so\s+)*([^\W\d_]+)")
 
@@ -111,10 +111,12 @@ class Voters(NamedTuple):
         def places(word: str) -> tuple[int, ...]:
             own = terms_of(word)
             held = [number[t] for t in own if t in number]
-            return (*held, *(len(number) + i for i, members in enumerate(lists) if not members.isdisjoint(own)))
+            held += [len(number) + i for i, members in enumerate(lists) if not members.isdisjoint(own)]
+            return (*held, stretched) if _STRETCHED.search(word) else tuple(held)
 
         known = Bounded(places, CACHED_WORDS)
         width = len(number) + len(lists)
+        stretched = width + PATTERNS.index("stretched")
 
         def count(text: str) -> np.ndarray:
             words = word_counts(text)
@@ -125,8 +127,8 @@ class Voters(NamedTuple):
             insults = {w: words[w] for w in _ALL_FIXED & words.keys()}
             found[width:] = (
                 sum(hit[1].lower() in _ALL_FIXED for hit in _ADDRESSED.finditer(text)) if insults else 0,
-                sum(1 for _ in _MASKED.finditer(text)),
-                sum(1 for _ in _STRETCHED.finditer(text)),
+                sum(text[hit.start() - 1].isalpha() for hit in _MASKED.finditer(text) if hit.start()),
+                found[stretched],
                 sum(1 for _ in _SHOUTED.finditer(text)),
                 sum(1 for _ in _EXCLAIMED.finditer(text)),
                 len(insults) > 1,
