@@ -80,7 +80,9 @@ _ADDRESSED = re.compile(r"\b(?:you|your|youre|du|dein|deine|tu|toi|usted|eres)\s
 
 PATTERNS = ("addressed", "masked", "stretched", "shouted", "exclaimed", "several", "repeated", "learnt_often")
 _PREFIXES = (4, 5, 6)
-CACHED_WORDS = 60_000
+CACHED_WORDS = 120_000
+#: Longer tokens are looked at anew each time, so that the cache stays small.
+CACHED_LENGTH = 64
 
 
 def word_counts(text: str) -> Counter[str]:
@@ -107,35 +109,44 @@ class Voters(NamedTuple):
         number = {term: i for i, term in enumerate(self.terms)}
         lists = list(self.lists.values())
         learnt = [len(number) + i for i, name in enumerate(self.lists) if name.startswith("learnt")]
-
-        def places(word: str) -> tuple[int, ...]:
-            own = terms_of(word)
-            held = [number[t] for t in own if t in number]
-            held += [len(number) + i for i, members in enumerate(lists) if not members.isdisjoint(own)]
-            return (*held, stretched) if _STRETCHED.search(word) else tuple(held)
-
-        known = Bounded(places, CACHED_WORDS)
         width = len(number) + len(lists)
-        stretched = width + PATTERNS.index("stretched")
+        masked, stretched, exclaimed = (width + PATTERNS.index(name) for name in ("masked", "stretched", "exclaimed"))
+
+        def looked_at(token: str) -> tuple[list[int], list[str]] | None:
+            """Where a token without spaces counts, as often as it does, and its insults."""
+            places, insults = [], []
+            for word in _WORD.findall(token):
+                own = terms_of(word)
+                places += [number[t] for t in own if t in number]
+                places += [len(number) + i for i, members in enumerate(lists) if not members.isdisjoint(own)]
+                places += [stretched] if _STRETCHED.search(word) else []
+                insults += [word] if word in _ALL_FIXED else []
+            places += [masked for hit in _MASKED.finditer(token) if hit.start() and token[hit.start() - 1].isalpha()]
+            places += [exclaimed for _ in _EXCLAIMED.finditer(token)]
+            return (places, insults) if places else None
+
+        known = Bounded(looked_at, CACHED_WORDS)
 
         def count(text: str) -> np.ndarray:
-            words = word_counts(text)
-            found = np.zeros(width + len(PATTERNS), dtype=np.int64)
-            for word, n in words.items():
-                for place in known[word]:
-                    found[place] += n
-            insults = {w: words[w] for w in _ALL_FIXED & words.keys()}
+            found, insults = [0] * (width + len(PATTERNS)), Counter()
+            for token, n in Counter(text.lower().split()).items():
+                hit = known[token] if len(token) <= CACHED_LENGTH else looked_at(token)
+                if hit is not None:
+                    for place in hit[0]:
+                        found[place] += n
+                    for word in hit[1]:
+                        insults[word] += n
             found[width:] = (
                 sum(hit[1].lower() in _ALL_FIXED for hit in _ADDRESSED.finditer(text)) if insults else 0,
-                sum(text[hit.start() - 1].isalpha() for hit in _MASKED.finditer(text) if hit.start()),
+                found[masked],
                 found[stretched],
                 sum(1 for _ in _SHOUTED.finditer(text)),
-                sum(1 for _ in _EXCLAIMED.finditer(text)),
+                found[exclaimed],
                 len(insults) > 1,
                 any(n > 1 for n in insults.values()),
-                found[learnt].sum() > 2,
+                sum(found[place] for place in learnt) > 2,
             )
-            return found
+            return np.array(found, dtype=np.int64)
 
         return count
 
