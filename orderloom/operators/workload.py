@@ -182,7 +182,8 @@ def impact_ranking(log: DataFrame, *, min_calls: int = 10) -> DataFrame:
     )
 
 
-def _width(df: DataFrame, column: str) -> Column:
+def value_width(df: DataFrame, column: str) -> Column:
+    """Bytes of a value in storage; of texts their own, of other types a fixed number."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.octet_length(F.col(column))
@@ -203,7 +204,7 @@ def _key(df: DataFrame, column: str) -> Column:
 def _exact_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every value of every column is one narrow row, counted per column and value before the shuffle."""
     entries = [
-        F.struct(F.lit(c).alias("column_name"), _key(df, c).alias("key"), _width(df, c).cast("double").alias("width"))
+        F.struct(F.lit(c).alias("column_name"), _key(df, c).alias("key"), value_width(df, c).cast("double").alias("width"))
         for c in columns
     ]
     values = (
@@ -231,7 +232,7 @@ def _sketched_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         measures += [
             F.approx_count_distinct(column).alias(f"d{i}"),
             F.avg(F.when(column.isNull(), 1.0).otherwise(0.0)).alias(f"n{i}"),
-            F.avg(F.when(column.isNotNull(), _width(df, c)).cast("double")).alias(f"w{i}"),
+            F.avg(F.when(column.isNotNull(), value_width(df, c)).cast("double")).alias(f"w{i}"),
         ]
     entries = F.array(
         *(

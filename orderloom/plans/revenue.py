@@ -145,6 +145,10 @@ def cohort_retention(users: DataFrame, orders: DataFrame) -> DataFrame:
         .groupBy("cohort_month", "month_number")
         .agg(F.count(F.lit(1)).alias("active_users"))
     )
+    return _retention(active)
+
+
+def _retention(active: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("cohort_month").orderBy("month_number")
     previous = F.col("previous_month_users")
     return (
@@ -163,3 +167,54 @@ def cohort_retention(users: DataFrame, orders: DataFrame) -> DataFrame:
         )
         .orderBy(F.col("cohort_month").desc(), "month_number")
     )
+
+
+def registered_bitmaps(users: DataFrame) -> DataFrame:
+    """Active users per registration month as bitmaps: cohort_month, part and users.
+
+    A part is a range of user numbers, of which a bitmap holds one bit each.
+    """
+    return (
+        users.where(F.col("status") == "ACTIVE")
+        .groupBy(month_start(F.col("registration_date")).alias("cohort_month"), F.bitmap_bucket_number("id").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("users"))
+    )
+
+
+def ordering_bitmaps(orders: DataFrame) -> DataFrame:
+    """Users with an order per month as bitmaps: activity (a month number), part and users."""
+    return (
+        orders.where(F.col("user_id").isNotNull())
+        .groupBy(month_number(F.col("created_at")).alias("activity"), F.bitmap_bucket_number("user_id").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("users"))
+    )
+
+
+def merged_bitmaps(bitmaps: DataFrame, by: str) -> DataFrame:
+    """Bitmaps of several batches as one per month and part."""
+    return bitmaps.groupBy(by, "part").agg(F.bitmap_or_agg("users").alias("users"))
+
+
+def retention_of_bitmaps(registered: DataFrame, ordering: DataFrame) -> DataFrame:
+    """``cohort_retention``, exact, from stored bitmaps instead of users and orders.
+
+    Cohorts and months meet per part, so no user is shuffled. User numbers that
+    rise with registration keep a part to a few cohorts; where they are spread
+    at random every part meets all cohorts with all months.
+    """
+    sides = F.array(F.col("members"), F.col("users"))
+    both = (
+        registered.withColumnRenamed("users", "members")
+        .join(ordering, "part")
+        .select("cohort_month", "activity", "part", F.explode(sides).alias("side"))
+        .groupBy("cohort_month", "activity", "part")
+        .agg(F.bitmap_count(F.bitmap_and_agg("side")).alias("users"))
+    )
+    active = (
+        both.withColumn("month_number", F.col("activity") - month_number(F.col("cohort_month")))
+        .where(F.col("month_number").isNotNull())
+        .groupBy("cohort_month", "month_number")
+        .agg(F.sum("users").alias("active_users"))
+        .where("active_users > 0")
+    )
+    return _retention(active)

@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.operators import changes, constraints
+from orderloom.operators import bucketed, changes, constraints, delta_checks
 from orderloom.registry.core import Registry
+from orderloom.session import shared_folder
 from orderloom.sources.schemas import declared_defaults
 
 registry = Registry()
@@ -48,6 +49,26 @@ add(
     named=(_ORDER_ROWS, _LAST),
 )
 
+
+def _upserted_in_buckets(t):
+    folder, schema = shared_folder(t.spark, "orders"), t.v_orders.schema
+    bucketed.write_buckets(t.v_orders, folder, buckets=16)
+    bucketed.apply_to_buckets(t.spark, folder, schema, _order_rows(t), changes.upsert, buckets=16)
+    return bucketed.read_buckets(t.spark, folder, schema)
+
+
+add(
+    "m01_bucketed_upsert",
+    _upserted_in_buckets,
+    """select id, user_id, status, total_amount, created_at from last_change
+       union all
+       select o.id, o.user_id, o.status, o.total_amount, o.created_at from v_orders o
+       where o.id not in (select id from changed)""",
+    doubles="total_amount",
+    named=(_ORDER_ROWS, _LAST),
+)
+
+
 def _upserted_with_rejects(t):
     # Every third change has lost its key.
     keyless = F.when(F.col("seq") % 3 != 0, F.col("id"))
@@ -414,3 +435,61 @@ add(
        from holed where user_id not in (select id from v_users where status = 'ACTIVE')""",
     named=(_HOLED,),
 )
+
+# Orders of which some change user, state and amount, some go and some come; users that become inactive or active.
+_MOVED_SPARK = """
+    select case when id % 10 = 3 then id + 1000000000 else id end as id,
+           case when id % 4 = 0 then user_id + 1000000 when id % 10 = 3 then user_id else user_id + 1 end as user_id,
+           case when id % 6 > 0 then status end as status,
+           cast(total_amount * (1 + id % 3) as decimal(12,2)) as total_amount, created_at
+    from {v_orders} where id % 10 in (1, 2, 3)"""
+_PARENTS_SPARK = "select id, name from {v_users} where (status = 'ACTIVE') <> (id % 9 = 0)"
+_DELTA = (
+    ("moved", _MOVED_SPARK.replace("{v_orders}", "v_orders")),
+    ("now_orders", "select * from v_orders where id % 10 not in (0, 1, 2) union all select * from moved"),
+    ("now_users", _PARENTS_SPARK.replace("{v_users}", "v_users")),
+)
+_LARGEST = 250000
+
+
+def _delta_violations(t):
+    """The checks of the new snapshot from those of the old one and the changes."""
+    old, moved = t.v_orders, t.spark.sql(_MOVED_SPARK, v_orders=t.v_orders)
+    rows = delta_checks.RowChanges(old.where("id % 10 in (0, 1, 2)"), moved)
+    new = old.where("id % 10 not in (0, 1, 2)").unionByName(moved)
+    before, after = t.v_users.where("status = 'ACTIVE'"), t.spark.sql(_PARENTS_SPARK, v_users=t.v_users)
+    users = t.v_users.select("id", (F.col("status") == "ACTIVE").alias("was"), (F.col("id") % 9 == 0).alias("changes"))
+    parents = delta_checks.RowChanges(users.where("changes and was"), users.where("changes and not was"))
+
+    def states(df: DataFrame) -> DataFrame:
+        return constraints.not_null(df, ["status"])
+
+    def amounts(df: DataFrame) -> DataFrame:
+        return constraints.in_range(df, "total_amount", 0, _LARGEST)
+
+    keys = ["user_id", "created_at"]
+    found = [delta_checks.row_check(check(old), rows, check) for check in (states, amounts)]
+    found.append(delta_checks.unique_check(constraints.unique(old, keys), delta_checks.key_counts(old, keys), rows, keys))
+    orphans = constraints.foreign_key(old, "user_id", before)
+    found.append(delta_checks.foreign_key_check(orphans, new, rows, "user_id", after, parents))
+    repeated = F.when(F.col("rule") == "unique", F.regexp_replace("key", r",(\S+).*$", ",$1")).otherwise(F.col("key"))
+    values = F.when(F.col("rule") != "check_range", F.col("value"))
+    return reduce(DataFrame.unionByName, found).withColumns({"key": repeated, "value": values})
+
+
+add(
+    "c11_delta_violations",
+    _delta_violations,
+    f"""select 'not_null' as rule, cast(id as varchar) as key, 'status' as "column", cast(null as varchar) as value
+       from now_orders where status is null
+       union all
+       select 'check_range', cast(id as varchar), 'total_amount', null from now_orders
+       where total_amount not between 0 and {_LARGEST}
+       union all
+       select 'unique', concat(user_id, ',', strftime(created_at, '%Y-%m-%d')), 'user_id,created_at', cast(count(*) as varchar)
+       from now_orders where user_id is not null and created_at is not null group by user_id, created_at having count(*) > 1
+       union all
+       select 'foreign_key', cast(id as varchar), 'user_id', cast(user_id as varchar)
+       from now_orders where user_id not in (select id from now_users)""",
+    named=_DELTA,
+)

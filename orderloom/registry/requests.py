@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orderloom.operators import requests
+from orderloom.operators import requests, rollups
 from orderloom.registry.core import Registry
 
 registry = Registry()
@@ -111,6 +111,26 @@ add(
     _sketch_error,
     "select distinct endpoint, true as within_error from v_requests",
 )
+
+
+def _rolled_up_error(t):
+    """Per endpoint, from sketches per minute: counts, and whether the rank of the p95 is within twice the stated error."""
+    rolled = rollups.rolled_up_latency(rollups.latency_rollup(t.v_requests))
+    latency, p95, n = F.col("latency_ms"), F.col("p95_latency"), F.count("latency_ms")
+    allowed = n * (2 * rollups.quantile_rank_error()) + 1
+    near = (F.count_if(latency < p95) - allowed <= 0.95 * n) & (0.95 * n <= F.count_if(latency <= p95) + allowed)
+    counts = ["calls", "success", "fallback", "failed"]
+    return t.v_requests.select("endpoint", "latency_ms").join(rolled, "endpoint").groupBy("endpoint", *counts).agg(near.alias("near"))
+
+
+add(
+    "l04_rolled_up_p95",
+    _rolled_up_error,
+    """select endpoint, count(*) as calls, count(*) filter (status = 'success') as success,
+              count(*) filter (status = 'fallback') as fallback,
+              count(*) filter (status = 'failed') as failed, true as near
+       from v_requests group by endpoint""",
+)
 add(
     "l05_endpoint_summary",
     lambda t: requests.endpoint_summary(t.v_requests),

@@ -290,6 +290,36 @@ _LISTED_SQL = """select recipient, list_start,
 _NAMED = (_EVENTS, _GOOD, _MESSAGES, _LISTS)
 add("st04_history_state", _history, _LISTED_SQL, named=_NAMED)
 add("st04_history_state_many_batches", lambda t: _history(t, files=6), _LISTED_SQL, named=_NAMED)
+
+
+def _out_of_order(t: CanonicalTables, files: int = 6) -> DataFrame:
+    """A stream of events in so many batches by time, each event up to 20 days late."""
+    folder = shared_folder(t.spark, "late")
+    shown = F.unix_date(F.to_date(F.col("timestamp").cast("timestamp_ntz"))) + F.col("orderId") % 21
+    timed = clean_events(t).withColumn("shown", shown)
+    first, last = timed.agg(F.min("shown"), F.max("shown")).first()
+    number = F.least(F.floor((F.col("shown") - first) * files / max(1, last - first + 1)), F.lit(files - 1))
+    fields = [F.col(f.name) for f in ev.EVENT_SCHEMA.fields]
+    texts = timed.select(number.alias("file"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    for n in range(files):  # one after another, as the stream takes them by age
+        texts.where(F.col("file") == n).select("value").coalesce(1).write.mode("append").text(folder)
+    return ev.file_stream(t.spark, folder, 1)
+
+
+def _closed(t: CanonicalTables) -> DataFrame:
+    sent = notifications.delivered(notifications.order_notifications(_out_of_order(t)))
+    return _finish(history.closed_lists(sent), "closed")
+
+
+add(
+    "st04_closed_lists_stream",
+    _closed,
+    """select recipient, list_start, max(event_time) as last_push, count(*) as pushed,
+              max(event_time) + interval 30 days as expires_at
+       from listed group by recipient, list_start
+       having max(event_time) + interval 60 days < (select max(event_time) from messages)""",
+    named=(_EVENTS, ("good_events", "select * from all_events"), _MESSAGES, _LISTS),
+)
 add(
     "st05_history_query",
     lambda t: notifications.notification_history(_sent(t), now=_now()).select(

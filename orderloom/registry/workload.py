@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderloom.functions import fixed
-from orderloom.operators import workload
+from orderloom.operators import rollups, workload
 from orderloom.registry.core import Registry
 
 registry = Registry()
@@ -195,6 +195,24 @@ add(
         from ({_profile_sql("v_views", _PROFILED)}) profile""",
     doubles="null_fraction avg_column_width",
 )
+
+
+def _rolled_up(t):
+    """Profile of all days from sketches per day: whether distinct counts are within the stated error of the exact ones."""
+    columns = list(_PROFILED)
+    rolled = rollups.rolled_up_profile(rollups.profile_rollup(t.v_views, columns, ts="created_at"))
+    exact = workload.column_profile(t.v_views, columns, exact=True).select("column_name", F.col("distinct_values").alias("known"))
+    near = F.abs(F.col("distinct_values") - F.col("known")) <= F.ceil(F.col("known") * F.lit(rollups.distinct_error()))
+    return rolled.join(exact, "column_name").select("column_name", near.alias("near"), "null_fraction", "avg_column_width")
+
+
+add(
+    "w12_rolled_up_profile",
+    _rolled_up,
+    f"""select column_name, true as near, null_fraction, avg_column_width
+        from ({_profile_sql("v_views", _PROFILED)}) profile""",
+    doubles="null_fraction avg_column_width",
+)
 add(
     "w13_selective_columns",
     lambda t: workload.selective_columns(

@@ -53,6 +53,37 @@ def start_history(
     return writer.start()
 
 
+def closed_lists(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "30 days") -> DataFrame:
+    """Start, last push, pushes and end of each list that has ended, from keyed state of the stream.
+
+    A list is a session with a gap of its lifetime; a push at exactly that age
+    still joins it. The state has one row per open list, not its pushes. A list
+    is given out once, when the newest push is later than its end by more than
+    the lateness, to the millisecond; a push that late is dropped, unlike in
+    ``history_log``, and so are pushes without a time. Of a batch all lists are
+    given out. Times are counted in elapsed time, whatever the session's zone.
+    """
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    pushed = sent.withColumn("pushed_at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("sentAt"))))
+    gap = f"{ttl_days * 24} hours 1 microsecond"  # a session ends before its gap is over
+    lists = (
+        pushed.withWatermark("pushed_at", lateness)
+        .groupBy("recipient", F.session_window("pushed_at", gap).alias("list"))
+        .agg(F.max("pushed_at").alias("last"), F.count(F.lit(1)).alias("pushed"))
+    )
+
+    def plain(at: Column) -> Column:
+        return F.timestamp_add("MICROSECOND", F.unix_micros(at), epoch)
+
+    return lists.select(
+        "recipient",
+        plain(F.col("list.start")).alias("list_start"),
+        plain(F.col("last")).alias("last_push"),
+        "pushed",
+        (plain(F.col("last")) + F.make_interval(days=F.lit(ttl_days))).alias("expires_at"),
+    )
+
+
 def list_days(days: DataFrame, *, ttl_days: int = TTL_DAYS) -> DataFrame:
     """Day rows with the start of the list that they belong to.
 
