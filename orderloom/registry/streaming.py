@@ -317,7 +317,7 @@ add(
     """select recipient, list_start, max(event_time) as last_push, count(*) as pushed,
               max(event_time) + interval 30 days as expires_at
        from listed group by recipient, list_start
-       having max(event_time) + interval 60 days < (select max(event_time) from messages)""",
+       having max(event_time) + interval 60 days <= (select max(event_time) from messages)""",
     named=(_EVENTS, ("good_events", "select * from all_events"), _MESSAGES, _LISTS),
 )
 add(

@@ -58,14 +58,14 @@ def closed_lists(sent: DataFrame, *, ttl_days: int = TTL_DAYS, lateness: str = "
 
     A list is a session with a gap of its lifetime; a push at exactly that age
     still joins it. The state has one row per open list, not its pushes. A list
-    is given out once, when the newest push is later than its end by more than
-    the lateness, to the millisecond; a push that late is dropped, unlike in
+    is given out once, when the newest push is later than its end by the
+    lateness, to the millisecond; a push that late is dropped, unlike in
     ``history_log``, and so are pushes without a time. Of a batch all lists are
     given out. Times are counted in elapsed time, whatever the session's zone.
     """
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     pushed = sent.withColumn("pushed_at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("sentAt"))))
-    gap = f"{ttl_days * 24} hours 1 microsecond"  # a session ends before its gap is over
+    gap = f"{ttl_days * 24} hours"
     lists = (
         pushed.withWatermark("pushed_at", lateness)
         .groupBy("recipient", F.session_window("pushed_at", gap).alias("list"))
