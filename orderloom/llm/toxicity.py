@@ -80,7 +80,9 @@ _ADDRESSED = re.compile(r"\b(?:you|your|youre|du|dein|deine|tu|toi|usted|eres)\s
 
 PATTERNS = ("addressed", "masked", "stretched", "shouted", "exclaimed", "several", "repeated", "learnt_often")
 _PREFIXES = (4, 5, 6)
-CACHED_WORDS = 120_000
+#: Tokens that a task remembers with their marks, and tokens without any.
+CACHED_WORDS = 60_000
+UNMARKED_WORDS = 400_000
 #: Longer tokens are looked at anew each time, so that the cache stays small.
 CACHED_LENGTH = 64
 
@@ -106,36 +108,58 @@ class Voters(NamedTuple):
 
     def counter(self) -> Callable[[str], np.ndarray]:
         """A function from a text to how often each term occurs and how much evidence each voter has."""
-        number = {term: i for i, term in enumerate(self.terms)}
-        lists = list(self.lists.values())
-        learnt = [len(number) + i for i, name in enumerate(self.lists) if name.startswith("learnt")]
-        width = len(number) + len(lists)
+        width = len(self.terms) + len(self.lists)
+        learnt = [len(self.terms) + i for i, name in enumerate(self.lists) if name.startswith("learnt")]
         masked, stretched, exclaimed = (width + PATTERNS.index(name) for name in ("masked", "stretched", "exclaimed"))
+        members = [*([term] for term in self.terms), *self.lists.values()]
+        whole: dict[str, list[int]] = {}
+        starts: dict[str, list[int]] = {}
+        for place, own in enumerate(members):
+            for term in own:
+                (starts if term.endswith("-") else whole).setdefault(term.rstrip("-"), []).append(place)
+        begun = starts.keys()
 
         def looked_at(token: str) -> tuple[list[int], list[str]] | None:
             """Where a token without spaces counts, as often as it does, and its insults."""
+            plain = token.isalpha()
+            # Most tokens are one word that nothing marks; four equal letters would leave three fewer kinds.
+            if plain and token not in whole and token[:4] not in begun and token[:5] not in begun and token[:6] not in begun:
+                if len(set(token)) > len(token) - 3 or not _STRETCHED.search(token):
+                    return None
             places, insults = [], []
-            for word in _WORD.findall(token):
-                own = terms_of(word)
-                places += [number[t] for t in own if t in number]
-                places += [len(number) + i for i, members in enumerate(lists) if not members.isdisjoint(own)]
-                places += [stretched] if _STRETCHED.search(word) else []
-                insults += [word] if word in _ALL_FIXED else []
-            places += [masked for hit in _MASKED.finditer(token) if hit.start() and token[hit.start() - 1].isalpha()]
-            places += [exclaimed for _ in _EXCLAIMED.finditer(token)]
+            for word in (token,) if plain else _WORD.findall(token):
+                hits = set(whole.get(word, ()))
+                for k in _PREFIXES:
+                    if len(word) >= k and word[:k] in begun:
+                        hits.update(starts[word[:k]])
+                places += hits
+                if len(word) > 3 and _STRETCHED.search(word):
+                    places.append(stretched)
+                if hits and word in _ALL_FIXED:
+                    insults.append(word)
+            if not plain:
+                places += [masked for hit in _MASKED.finditer(token) if hit.start() and token[hit.start() - 1].isalpha()]
+                places += [exclaimed for _ in _EXCLAIMED.finditer(token)]
             return (places, insults) if places else None
 
-        known = Bounded(looked_at, CACHED_WORDS)
+        known, unmarked = Bounded(looked_at, CACHED_WORDS), set()
 
         def count(text: str) -> np.ndarray:
             found, insults = [0] * (width + len(PATTERNS)), Counter()
-            for token, n in Counter(text.lower().split()).items():
-                hit = known[token] if len(token) <= CACHED_LENGTH else looked_at(token)
+            counted = Counter(text.lower().split())
+            for token in set(counted).difference(unmarked):
+                core = token.rstrip(".,;:")  # stops at the end change nothing
+                hit = known[core] if len(core) <= CACHED_LENGTH else looked_at(core)
                 if hit is not None:
+                    n = counted[token]
                     for place in hit[0]:
                         found[place] += n
                     for word in hit[1]:
                         insults[word] += n
+                elif len(token) <= CACHED_LENGTH:
+                    if len(unmarked) >= UNMARKED_WORDS:
+                        unmarked.clear()
+                    unmarked.add(token)
             found[width:] = (
                 sum(hit[1].lower() in _ALL_FIXED for hit in _ADDRESSED.finditer(text)) if insults else 0,
                 found[masked],
