@@ -64,6 +64,11 @@ class Registry:
             star = f"* replace ({rounded})" if rounded else "*"
             self.oracles[name] = duckdb_with(f"select {star} from ({sql}) answer", *named)
 
+    def also(self, name: str, like: str, build: Build) -> None:
+        """Register another way to the rows of a query that is there already, against the same SQL."""
+        self.add(name, build)
+        self.digits[name], self.oracles[name] = self.digits[like], self.oracles[like]
+
     def queries(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
             build, digits = self.builders[name], self.digits[name]

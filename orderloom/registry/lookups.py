@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.operators import lookup
 from orderloom.registry.core import Registry
+from orderloom.sources.canonical import CanonicalTables
 from orderloom.sources.tables import literal_rows
 
 registry = Registry()
@@ -101,3 +103,25 @@ add(
     lambda t: lookup.clustered_by(t.v_views, ["product_id"], [F.col("created_at").desc()]),
     "select * from v_views",
 )
+
+
+def _layout_of_views(t: CanonicalTables) -> DataFrame:
+    """Rows of each product in the layout, rows of it that stand behind an older one, and whether others stand between."""
+    laid = lookup.clustered_by(t.v_views, ["product_id"], [F.col("created_at").desc(), F.col("id")])
+    placed = laid.select("product_id", "created_at", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    along = Window.partitionBy("product_id").orderBy("place")
+    seen = placed.withColumn("late", F.lag("created_at").over(along) < F.col("created_at"))
+    pieces = seen.groupBy("product_id", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"), (F.max("place") - F.min("place") + 1).alias("span")
+    )
+    return pieces.groupBy("product_id").agg(
+        F.sum("n").alias("views"), F.sum("late").alias("out_of_order"), F.sum(F.col("span") - F.col("n")).alias("strangers")
+    )
+
+
+add(
+    "p14_layout_of_views",
+    _layout_of_views,
+    """select product_id, count(*) as views, cast(0 as bigint) as out_of_order, cast(0 as bigint) as strangers
+       from v_views group by product_id""",
+)

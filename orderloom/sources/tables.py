@@ -121,6 +121,16 @@ def write_bucketed(
     )
 
 
+def bucketed_facts(
+    orders: DataFrame, items: DataFrame, folder: str, *, prefix: str, buckets: int
+) -> tuple[DataFrame, DataFrame]:
+    """Save orders by id and their lines by order id in equal buckets; both as tables whose join needs no shuffle."""
+    spark = orders.sparkSession
+    for df, name, key in ((orders, "orders", "id"), (items, "items", "order_id")):
+        write_bucketed(df, f"{prefix}_{name}", f"{folder}/{name}", key=key, buckets=buckets)
+    return spark.table(f"{prefix}_orders"), spark.table(f"{prefix}_items")
+
+
 def write_with_bloom_filter(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Write Parquet with bloom filters on columns that are looked up by equality."""
     writer = df.write.mode("overwrite")

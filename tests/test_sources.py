@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from orderloom.functions import fixed
 from orderloom.operators import lookup
+from orderloom.plans import products, revenue
+from orderloom.registry import analytics
 from orderloom.session import shared_folder
 from orderloom.sources import schemas, synthetic, tables
 from orderloom.sources.canonical import CanonicalTables
@@ -74,6 +76,38 @@ def test_bucketed_join_has_no_shuffle(spark, tmp_path):
         spark.sql("drop table b_items")
 
 
+def exchanges_below_join(plan, key):
+    """The exchanges under the join on a key in the tree of a plan."""
+    lines = [(max(line.rfind("+- "), line.rfind(":- ")), line) for line in plan.splitlines()]
+    (at,) = (i for i, (_, line) in enumerate(lines) if re.search(rf"SortMergeJoin \[{key}#", line))
+    below = []
+    for depth, line in lines[at + 1 :]:
+        if depth <= lines[at][0]:
+            break
+        below.append(line)
+    assert sum("FileScan" in line for line in below) == 2
+    return [line for line in below if "Exchange" in line]
+
+
+@pytest.mark.parametrize("bucketed", [True, False])
+def test_revenue_and_runway_join_bucketed_facts_without_shuffle(spark, bucketed):
+    t = CanonicalTables(spark, SMALL)
+    orders, items = analytics.facts_in_buckets(t) if bucketed else (t.v_orders, t.v_order_items)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for answer in (
+            revenue.monthly_category_revenue(orders, items, t.v_products, t.v_categories, since="1998-01-01"),
+            products.stock_runway(t.v_products, items, orders, as_of=analytics.ORDERS_AS_OF),
+        ):
+            plan = answer._jdf.queryExecution().executedPlan().toString()
+            assert bool(exchanges_below_join(plan, "order_id")) != bucketed
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_bloom_filter_layout(spark, tmp_path):
     users = CanonicalTables(spark, SMALL).v_users
     tables.write_with_bloom_filter(users, str(tmp_path / "u"), ["email"])
