@@ -12,13 +12,15 @@ true neighbours are found by brute force over all rows, and the budget is the
 number of rows after which ``RECALL`` of them have been met on the walk.
 
 Cells are gathered into shards of at most about ``SHARD_ROWS`` rows; a larger
-cell is dealt over several shards, so no group grows with the data, and queries
-are dealt in blocks of ``QUERY_BLOCK``. Only statistics by cell, at most K * K
+cell is dealt over several shards, so no group grows with the data. Queries are
+dealt in the same way, by their own cell, into blocks of ``QUERY_BLOCK``, so that
+the queries of a block visit much the same shards; a row is sent to the blocks
+that visit its shard and to no others. Only statistics by cell, at most K * K
 numbers, reach the driver.
 
-Vectors that are null, zero or hold null or non-finite components, rows without
-an identifier, and vectors of another than the most frequent length take no
-part. Rows with the query's identifier are not its candidates; a repeated query
+Vectors that are null, zero or hold null or non-finite components and rows without
+an identifier take no part. Each length of vectors has an index and a search of
+its own. Rows with the query's identifier are not its candidates; a repeated query
 is searched once, repeated candidates count one by one. Ties go to the smaller
 identifier. Fewer candidates than asked for give fewer rows; an empty table
 gives none. Only the named columns are read.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orderloom.llm.common import bounded_sample, slices, stored
-from orderloom.llm.vectors import column, groups, matrix, proper_vectors
+from orderloom.llm.vectors import by_length, column, groups, matrix, proper_vectors
 
 FIT_ROWS = 20_000
 CELL_ROWS = 40
@@ -127,16 +130,28 @@ def build(vectors: DataFrame, total: int) -> MultiIndex:
     counts = np.zeros(size, dtype=np.int64)
     for cell, count in rows.groupBy("cell").count().collect():  # at most K * K rows
         counts[cell] = count
-    shards = np.maximum(1, -(-counts // SHARD_ROWS))
-    first, at, filled = np.zeros(size, dtype=np.int64), 0, 0
-    for cell in range(size):
-        if shards[cell] > 1 or filled + counts[cell] > SHARD_ROWS:
+    return MultiIndex(books, rows, counts, *dealt(counts, SHARD_ROWS))
+
+
+def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells gathered in order into groups of at most about ``most``: each cell's first group and number of groups."""
+    parts = np.maximum(1, -(-counts // most))
+    first, at, filled = np.zeros(len(counts), dtype=np.int64), 0, 0
+    for cell in range(len(counts)):
+        if parts[cell] > 1 or filled + counts[cell] > most:
             at, filled = at + (filled > 0), 0
         first[cell] = at
         filled += int(counts[cell])
-        if shards[cell] > 1:
-            at, filled = at + int(shards[cell]), 0
-    return MultiIndex(books, rows, counts, first, shards)
+        if parts[cell] > 1:
+            at, filled = at + int(parts[cell]), 0
+    return first, parts
+
+
+def in_groups(rows: DataFrame, first: np.ndarray, parts: np.ndarray, key: str, name: str) -> DataFrame:
+    """Rows with a cell, and the group that each is dealt to."""
+    spread = pd.DataFrame({"cell": np.arange(len(first)), "first": first, "parts": parts})
+    table = F.broadcast(rows.sparkSession.createDataFrame(spread))  # K * K rows
+    return rows.join(table, "cell").withColumn(name, F.col("first") + F.pmod(F.xxhash64(key), F.col("parts"))).drop("first", "parts")
 
 
 def _budget(index: MultiIndex, queries: DataFrame, k: int, total: int) -> int:
@@ -183,40 +198,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     wanted, books, counts = _budget(index, queries, k, total), index.books, index.counts
     first, shards = index.first_shard, index.shards
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for number, vector in zip(column(batch, "vec_id").tolist(), matrix(batch)):
-                cells, met = {}, 0
+                cells, met, home = {}, 0, -1
                 for cell in books.walk(vector):
+                    home = cell if home < 0 else home
                     if counts[cell]:
                         met += int(counts[cell])
                         for shard in range(first[cell], first[cell] + shards[cell]):
                             cells.setdefault(shard, []).append(cell)
                     if met >= wanted:
                         break
-                out += [(shard, number, vector, own) for shard, own in cells.items()]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
+                out += [(number, home, shard, own) for shard, own in cells.items()]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "query_id", "vector", "cells"]
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["vec_id", "cell", "shard", "cells"]
             )
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.mapInArrow(visit, "shard long, query_id long, vector array<double>, cells array<int>").select(
-        "shard", block, F.col("query_id").alias("number"), "vector", "cells", F.lit(1).alias("side")
+    visits = stored(queries.mapInArrow(visit, "vec_id long, cell int, shard long, cells array<int>"), "visits")
+    homes = np.zeros(len(counts), dtype=np.int64)
+    for cell, count in visits.groupBy("cell").agg(F.count_distinct("vec_id")).collect():  # at most K * K rows
+        homes[cell] = count
+    visits = in_groups(visits, *dealt(homes, QUERY_BLOCK), "vec_id", "block")
+    asked = visits.join(queries, "vec_id").select(
+        "shard", "block", F.col("vec_id").alias("number"), "vector", "cells", F.lit(1).alias("side")
     )
-    spread = pd.DataFrame({"cell": np.arange(len(counts)), "first": first, "parts": shards})
-    table = F.broadcast(vectors.sparkSession.createDataFrame(spread))  # K * K rows
-    held = index.rows.join(table, "cell").select(
-        (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.col("vec_id").alias("number"),
-        "vector",
-        F.array(F.col("cell").cast("int")).alias("cells"),
-        F.lit(0).alias("side"),
+    held = visited_rows(index, visits).select(
+        "shard", "block", F.col("vec_id").alias("number"), "vector", F.array("cell").alias("cells"), F.lit(0).alias("side")
     )
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +245,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def visited_rows(index: MultiIndex, visits: DataFrame) -> DataFrame:
+    """The indexed rows with their shard, once for every block of queries that visits it."""
+    blocks = visits.select("shard", "block").distinct()
+    return in_groups(index.rows, index.first_shard, index.shards, "vec_id", "shard").join(blocks, "shard")
+
+
 def _run_places(starts: np.ndarray) -> np.ndarray:
     """The place of every row in its run; ``starts`` marks the first rows."""
     first = np.flatnonzero(starts)
@@ -291,4 +309,5 @@ def _nearest(rows: pa.Table, asks: pa.Table, k: int) -> pa.RecordBatch:
 def neighbours(embeddings: DataFrame, step: int = 100, k: int = 10) -> DataFrame:
     """The k nearest rows of every row whose vec_id is divisible by ``step``."""
     vectors = stored(proper_vectors(embeddings), "vectors")
-    return search(vectors, vectors.where(F.col("vec_id") % step == 0), k)
+    parts = ((part, part.where(F.col("vec_id") % step == 0)) for part in by_length(vectors))
+    return reduce(DataFrame.unionByName, (search(part, queries, k) for part, queries in parts))

@@ -27,8 +27,8 @@ or ``MOST_AUDITED`` nodes were asked. Below ``RECALL`` another round follows, wi
 lists twice as long; after ``MOST_ROUNDS`` rounds the query fails rather than
 return less.
 
-Vectors that are null, zero or hold null or non-finite components, and those of
-another than the most frequent length, link with nothing and are kept. Rows that
+Vectors that are null, zero or hold null or non-finite components link with nothing
+and are kept; vectors of one length are compared with each other only. Rows that
 repeat an identifier, with the same vector or another, share one node and what
 is found for it. A row without an identifier has no component, no links, and is kept.
 An empty table gives no rows. Only the named columns are read.
@@ -37,6 +37,7 @@ An empty table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.common import bounded_sample, slices, stored
 from orderloom.llm.components import components
-from orderloom.llm.vectors import column, groups, matrix, proper_vectors, unit
+from orderloom.llm.vectors import by_length, column, groups, matrix, proper_vectors, unit
 
 THRESHOLD = 0.9
 WIDTH = 10
@@ -359,15 +360,9 @@ def _counted_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(count, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    vectors = stored(proper_vectors(rows), "vectors")
+def _answers(vectors: DataFrame, threshold: float, width: int) -> DataFrame:
+    """content, n_links and component_id of every different vector of one length, stored."""
     nodes = stored(classes(vectors), "nodes")
-    if nodes.isEmpty():
-        return rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
     edges, labelled = linked_nodes(nodes, width, threshold)
     whole = _counted_in_blocks(labelled.where("whole").select("component", "vec_id", "vector", "copies"), threshold)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
@@ -379,7 +374,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, width:
     )
     links = whole.union(few)
     answers = labelled.select("content", "vec_id", "copies", "component").join(links, "vec_id", "left")
-    answers = stored(
+    return stored(
         answers.select(
             "content",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
@@ -387,6 +382,17 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, width:
         ),
         "answers",
     )
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    vectors = stored(proper_vectors(rows), "vectors")
+    if vectors.isEmpty():
+        return rows.select(
+            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
+        )
+    answers = reduce(DataFrame.unionByName, (_answers(part, threshold, width) for part in by_length(vectors)))
     own = vectors.select("vec_id", F.md5(F.to_json("vector")).alias("content")).join(answers, "content")
     found = own.groupBy("vec_id", "content").agg(
         F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times")

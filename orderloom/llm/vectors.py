@@ -17,11 +17,15 @@ def takes_part(vector: Column) -> Column:
 
 
 def proper_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and vector of the rows that take part: those of the most frequent length, with an identifier."""
+    """vec_id and vector of the rows that take part and have an identifier; their lengths may differ."""
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.where(takes_part(F.col("vector")) & F.col("vec_id").isNotNull())
-    lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return rows.where(F.size("vector") == (lengths["size"] if lengths else 0))
+    return rows.where(takes_part(F.col("vector")) & F.col("vec_id").isNotNull())
+
+
+def by_length(vectors: DataFrame) -> list[DataFrame]:
+    """The vectors of each length; only vectors of one length can be compared."""
+    sizes = [row.size for row in vectors.select(F.size("vector").alias("size")).distinct().orderBy("size").collect()]
+    return [vectors.where(F.size("vector") == size) for size in sizes] if len(sizes) > 1 else [vectors]
 
 
 def matrix(batch: pa.RecordBatch | pa.Table, column: str = "vector") -> np.ndarray:

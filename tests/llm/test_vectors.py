@@ -153,6 +153,43 @@ def test_search_in_cells_dealt_over_shards(make_vectors, monkeypatch):
     assert {tuple(r) for r in found} == wanted
 
 
+def test_rows_are_sent_only_to_blocks_that_visit_their_shard(make_vectors, monkeypatch):
+    """Thirty tight clouds far apart: a query needs its own cloud, so rows times blocks would be thirty times too many."""
+    monkeypatch.setattr(multi_index, "SHARD_ROWS", 60)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 4)
+    sent = []
+
+    def counted(index, visits, plain=multi_index.visited_rows):
+        rows = plain(index, visits)
+        sent.append((rows.count(), index.rows.count(), visits.select("block").distinct().count()))
+        return rows
+
+    monkeypatch.setattr(multi_index, "visited_rows", counted)
+    draw = np.random.default_rng(12)
+    clouds = [100 * draw.normal(size=8) + draw.normal(size=(50, 8)) for _ in range(30)]
+    rows = list(enumerate(np.vstack(clouds).tolist()))
+    found = multi_index.neighbours(make_vectors(rows), step=10).collect()
+    assert len(found) == 1500 and {r.vec_id // 50 == r.query_id // 50 for r in found} == {True}
+    ((copies, all_rows, blocks),) = sent
+    assert all_rows == 1500 and blocks >= 30 and copies <= 0.25 * all_rows * blocks
+
+
+def test_each_length_of_vectors_is_searched(make_vectors):
+    draw = np.random.default_rng(13)
+    rows = [(i, draw.normal(size=16 if i % 3 else 24).tolist()) for i in range(300)]
+    rows += [(300 + i, v) for i, (_, v) in enumerate(rows[:40])] + [(350, [1.0, 2.0])]
+    found = multi_index.neighbours(make_vectors(rows), step=50).collect()
+    known = dict(rows)
+    assert {r.query_id for r in found} == {i for i in range(0, 301, 50)}
+    assert all(len(known[r.query_id]) == len(known[r.vec_id]) for r in found)
+    assert {(r.query_id, r.vec_id) for r in found if r.score == 0} == {(0, 300), (300, 0)}
+    links = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(make_vectors(rows)).collect()}
+    wanted = {}
+    for size in (2, 16, 24):
+        wanted |= plain_links([(i, v) for i, v in rows if len(v) == size])
+    assert links == wanted and links[339] == (1, 39)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_ties_of_a_shard_go_to_the_smallest_identifiers(seed):
     """Most rows are copies of two vectors at one distance from the queries; some identifiers repeat."""
