@@ -4,13 +4,14 @@ Every word has two terms: itself and its shape, in which runs of letters,
 digits and signs shrink to one mark each. A term's index vector is a fixed sparse
 random vector drawn from its hash; its word vector is the sum of the index
 vectors around it in the fitted texts. A document is the mean of its words'
-vectors, where a word that was not seen uses its shape, together with the share
+vectors, where a word that was not seen uses its shape and a run of more than
+``LONGEST_WORD`` characters counts as many words, together with the share
 of words that repeat the word before. A network of two layers turns that into a
 score, and a temperature fitted on rows kept aside calibrates it.
 
 Only fitting is on a bounded sample (``FIT_DOCS`` labelled rows of at most
 ``FIT_CHARS`` characters); scoring reads every whole text. The score depends on
-the text alone.
+the text alone. Of labelled rows that repeat a doc_id the fit takes one text.
 
 Null texts count as empty; a text without words has the zero vector and a score
 like any other. Repeated rows get the same score. An empty table gives no
@@ -44,6 +45,8 @@ WINDOW = 2
 LEAST_SEEN = 4
 THRESHOLD = 0.3
 CACHED_WORDS = 60_000
+#: Longer runs without white space count as successive words of ``PIECE`` characters.
+LONGEST_WORD, PIECE = 32, 8
 
 _SHAPE = (
     (re.compile(r"[^\W\d_]+"), lambda hit: "X" if hit[0].isupper() else "Xx" if hit[0][0].isupper() else "x"),
@@ -59,6 +62,18 @@ def shape(word: str) -> str:
     return word[:8]
 
 
+def words_of(text: str) -> list[str]:
+    """The words between white space, very long ones in pieces, so that all of an unspaced text counts."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    return [
+        piece
+        for word in words
+        for piece in ((word,) if len(word) <= LONGEST_WORD else (word[i : i + PIECE] for i in range(0, len(word), PIECE)))
+    ]
+
+
 def index_vector(term: str) -> np.ndarray:
     """A sparse vector of +1 and -1 that depends on the term only."""
     draw = np.random.default_rng(zlib.crc32(term.encode()))
@@ -87,7 +102,7 @@ class QualityModel:
         """The mean word vector, at unit length, and the share of repeats."""
         if "rows" not in self.__dict__:
             self.rows = Bounded(self._row, CACHED_WORDS)
-        words = text.split()
+        words = words_of(text)
         if not words:
             return np.zeros(SIZE + 1, dtype=np.float32)
         rows = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
@@ -108,7 +123,7 @@ class QualityModel:
 
 def word_vectors(texts: Sequence[str]) -> dict[str, np.ndarray]:
     """Sums of the index vectors of the shapes and words around each term, at unit length."""
-    seen = Counter(word for text in texts for word in text.split())
+    seen = Counter(word for text in texts for word in words_of(text))
     shape_of = {word: f"\t{shape(word)}" for word in seen}
     known = sorted(word for word, n in seen.items() if n >= LEAST_SEEN)
     terms = [*sorted(set(shape_of.values())), *known]
@@ -116,7 +131,7 @@ def word_vectors(texts: Sequence[str]) -> dict[str, np.ndarray]:
     index = np.array([*map(index_vector, terms), np.zeros(SIZE)], dtype=np.float32)
     sums = np.zeros((len(terms) + 1, SIZE))
     for text in texts:
-        words = text.split()
+        words = words_of(text)
         shapes = np.array([row_of[shape_of[w]] for w in words], dtype=np.int64)
         own = np.array([row_of.get(w, len(terms)) for w in words], dtype=np.int64)
         total = np.cumsum(np.vstack([np.zeros((1, SIZE)), index[shapes] + index[own]]), axis=0)
@@ -172,13 +187,14 @@ def held_out(doc_id: Column) -> Column:
 def fit_on_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> QualityModel:
     """Fit on so many labelled documents, the first by a hash of their id; held-out rows are left out."""
     own = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    chosen = bounded_sample(own, most, "doc_id", "quality")
+    chosen = bounded_sample(own.distinct(), most, "doc_id", "quality")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(
         F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS
     )
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # bounded by both limits
+    # Of rows that repeat an identifier the smallest text stays, before anything reaches the driver.
+    own = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = own.collect()  # bounded by both limits
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    rows = rows[: 2 * most]
     return fit([r.text for r in rows], [r.quality for r in rows])
 
 

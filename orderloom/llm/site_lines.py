@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from orderloom.llm.common import stored
 
 MAX_RATIO = 0.08
-MIN_PAGES = 5
+#: Two pages may be copies of each other, which says nothing of the site; three do not meet by chance.
+MIN_PAGES = 3
 _AROUND = " \t\r"
 
 

@@ -137,6 +137,13 @@ def test_lines_equal_sql_and_meaning(make_docs):
     assert site_lines.cleaned_documents(make_docs([])).count() == 0
 
 
+def test_small_sites_lose_their_boilerplate(make_docs):
+    rows = [(i, f"own {i}\nFollow us" if i < 4 else f"own {i}", "small") for i in range(10)]
+    rows += [(20 + i, "a copy\nof a page" if i < 2 else f"page {i}", "copies") for i in range(10)]
+    found = {r.doc_id: r for r in site_lines.cleaned_documents(make_docs(rows)).collect()}
+    assert all(r.n_dropped == (i < 4) for i, r in found.items()) and found[20].text == "a copy\nof a page"
+
+
 def test_lines_keep_all_columns(odd_docs):
     kept = site_lines.drop_boilerplate(odd_docs)
     assert kept.select("row.*").columns == odd_docs.columns
@@ -199,6 +206,24 @@ def test_shapes():
     assert [quality.shape(w) for w in ("EDTH!!", "Thre***", "abc", "12", "|")] == ["X!!", "Xx**", "x", "9", "|"]
 
 
+def test_all_of_an_unspaced_text_counts(labelled):
+    """A long start without white space does not decide what the rest says."""
+    docs, labels = labelled
+    model = quality.fit_on_labels(docs, labels)
+    start = "qqqqqqq1" * 5
+    ends = [model.pooled(start + tail) for tail in ("abcdefg1" * 400, "ABCDE1!!" * 400)]
+    assert np.abs(ends[0] - ends[1]).max() > 0.1
+    assert quality.words_of(f"ab {'x' * 33} c") == ["ab", *["x" * 8] * 4, "x", "c"]
+    assert quality.words_of("") == []
+
+
+def test_a_repeated_labelled_document_is_fitted_once(labelled, spark, make_docs):
+    docs, labels = labelled
+    many = docs.unionByName(spark.range(10_000).join(docs.where("doc_id = 1")).drop("id").select(docs.columns))
+    plain, repeated = (quality.fit_on_labels(d, labels) for d in (docs, many))
+    assert np.array_equal(plain.vectors, repeated.vectors) and plain.temperature == repeated.temperature
+
+
 # ---- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
