@@ -40,7 +40,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,12 @@ FIT_DOCS = 4000
 TERMS = 256
 LEARNT = 48
 LEARNT_LISTS = 4
-#: Standard errors that a term's log odds must be away from none.
+#: Log odds from which a term marks toxic texts by itself; surer ones with less are common words.
+MARKED = 2.0
+#: Standard errors that a term must be away from telling nothing: the root of its likelihood ratio.
 SURE = 4.5
+#: Terms looked at for each one taken, as many of them are words with the same beginning.
+SPARE = 16
 PRIOR = 0.1
 THRESHOLD = 0.5
 
@@ -317,7 +321,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) ->
 
 
 def telling_terms(sample: DataFrame, most: int = TERMS) -> list[tuple[str, float]]:
-    """The words and beginnings that tell the sample's labels best, with their log odds; rare ones tell nothing."""
+    """The words and beginnings that tell the sample's labels best, with their log odds; rare ones tell nothing.
+
+    They are ranked by the likelihood ratio of two shares against one for both labels. Log odds over their standard
+    error would rank a term low that no clean text has, however many toxic ones have it. A term is left out if one
+    of its beginnings is as sure.
+    """
     sizes = {row.toxic: row["count"] for row in sample.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return []
@@ -332,10 +341,21 @@ def telling_terms(sample: DataFrame, most: int = TERMS) -> list[tuple[str, float
     share = (F.col("toxic") + 0.5) / F.lit(sizes[1] + 1.0)
     other = (F.col("clean") + 0.5) / F.lit(sizes[0] + 1.0)
     odds = F.log(share / (1 - share)) - F.log(other / (1 - other))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    telling = counted.where(F.col("toxic") + F.col("clean") >= least).select("word", odds.alias("odds"), F.abs(odds / error).alias("sure"))
-    best = telling.where(F.col("sure") > SURE).orderBy(F.desc("sure"), "word").limit(most)
-    return [(row.word, row.odds) for row in best.collect()]
+    held, both = F.col("toxic") + F.col("clean"), sizes[0] + sizes[1]
+
+    def gain(part: Column, of: int, whole: Column) -> Column:
+        """What a share of its own adds to the log likelihood of one label's texts."""
+        return F.when(part > 0, part * F.log(part * both / (of * whole))).otherwise(0.0)
+
+    pairs = [(F.col("toxic"), sizes[1]), (F.col("clean"), sizes[0])]
+    gained = sum((gain(n, of, held) + gain(of - n, of, both - held) for n, of in pairs), F.lit(0.0))
+    sure = F.sqrt(2 * F.greatest(gained, F.lit(0.0)))
+    telling = counted.where(held >= least).select("word", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") > SURE)
+    taken: dict[str, float] = {}
+    for row in telling.orderBy(F.desc("sure"), F.length("word"), "word").limit(SPARE * most).collect():
+        if len(taken) < most and not any(beginning in taken for beginning in terms_of(row.word.rstrip("-"))[1:] if beginning != row.word):
+            taken[row.word] = row.odds
+    return list(taken.items())
 
 
 def pair_moments(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
@@ -393,11 +413,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[Class
 
 
 def _learnt_lists(telling: list[tuple[str, float]]) -> dict[str, frozenset[str]]:
-    """The surest toxic terms, none of which begins another, dealt to several lists."""
+    """The surest terms that mark toxic texts, none of which begins another, dealt to several lists."""
     chosen: list[str] = []
     for term, odds in telling:
         start = term.rstrip("-")
-        if odds > 0 and len(chosen) < LEARNT and not any(start.startswith(c.rstrip("-")) or c.startswith(start) for c in chosen):
+        if odds >= MARKED and len(chosen) < LEARNT and not any(start.startswith(c.rstrip("-")) or c.startswith(start) for c in chosen):
             chosen.append(term)
     return {f"learnt{i}": frozenset(chosen[i::LEARNT_LISTS]) for i in range(LEARNT_LISTS)}
 

@@ -162,6 +162,35 @@ def test_toxicity_on_held_out_rows(spark, make_docs):
     assert {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, turned).collect()} == {i: r.score for i, r in found.items()}
 
 
+def test_terms_that_no_clean_text_has_are_sure(spark):
+    """A beginning in a seventh of the toxic texts and in no clean one; its words stand behind it."""
+    texts = [(f"{prose(i, 30)} zorq{'abcdef'[i % 6]}x", 1) for i in range(36)]
+    texts += [(prose(i, 30) + " idiot", 1) for i in range(36, 250)] + [(prose(i, 30), 0) for i in range(250, 500)]
+    found = dict(toxicity.telling_terms(spark.createDataFrame(texts, "text string, toxic int")))
+    assert found["zorq-"] > 3 and not any(term.startswith("zorq") and term != "zorq-" for term in found)
+
+
+def test_learnt_lists_have_no_common_words():
+    """Words that are sure but only a little likelier would make a list fire on half of the clean texts."""
+    lists = toxicity._learnt_lists([("zorq-", 6.2), ("as", 0.34), ("the", -0.5), ("trash", 7.0)])
+    assert set().union(*lists.values()) == {"zorq-", "trash"}
+
+
+def test_toxicity_of_a_marked_minority(spark, make_docs):
+    """One toxic text in eight is of another tongue and holds a beginning that no fixed list knows."""
+    rows, labels = planted(600, 8)
+    for i in range(600, 700):
+        words = prose(i, 60).split()
+        if i % 5 == 0:
+            words[7:7] = [f"vequ{'abcdefgh'[i // 5 % 8]}o", f"vequ{'stuvwxyz'[i // 5 % 8]}a"]
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(i % 5 == 0)))
+    found = {r.doc_id: r for r in toxicity.toxicity_scores(make_docs(rows), spark.createDataFrame(labels, LABELS)).collect()}
+    clean = sorted(found[i].score for i, _, toxic in labels if not toxic)
+    missed = [i for i, _, toxic in labels if toxic and i >= 600 and found[i].score <= clean[len(clean) * 95 // 100]]
+    assert missed == []
+
+
 def test_label_model_finds_rates_and_dependent_voters():
     draw = np.random.default_rng(5)
     n, prior = 200_000, 0.15
