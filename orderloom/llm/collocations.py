@@ -7,15 +7,16 @@ Only these longest windows are counted. The counts of all shorter phrases are
 sums over their continuations, which Spark's ROLLUP takes over (lang, word,
 second, third): no shorter phrase is exploded on its own.
 
-Before they are counted, windows are cut to the prefix that can matter: a phrase
-can reach ``least`` only if each pair of words in it does. Pairs are counted by a
-hash, and those that reach ``least`` set a bit in a table of ``BITS`` bits, the
-only broadcast, 16 MB at most whatever the corpus. A hash or bit shared by chance
-leaves a window longer than needed and never changes a result; beyond some ten
-million frequent pairs the table cuts less and more windows are shuffled. Cut
-windows still count towards every shorter phrase. All counts are combined before
-they are shuffled, keys are whole windows, so neither a frequent word nor a
-frequent pair is summed in one task.
+Before they are counted, windows are cut to the prefix that can matter: a pair
+can be a candidate only if it reaches ``least``, a triple only if it does and both
+pairs in it do. Pairs are counted by a hash of ``SLOTS`` values first, then the
+triples of frequent pairs; those that reach ``least`` set a bit in a table of
+``BITS`` bits each, the only broadcasts, 16 MB at most whatever the corpus. A hash
+or bit shared by chance leaves a window longer than needed and never changes a
+result; beyond some ten million frequent pairs the table cuts less and more
+windows are shuffled. Cut windows still count towards every shorter phrase. All
+counts are combined before they are shuffled, keys are whole windows, so neither
+a frequent word nor a frequent pair is summed in one task.
 
 Scores are exact integers: counts up to 10^15 are safe, beyond that the query
 fails instead of rounding.
@@ -36,6 +37,8 @@ LEAST = 10
 INSIDE_PERCENT = 50
 TOP = 2000
 BITS = 1 << 26
+#: Kinds of hash; more would be longer to shuffle, and what shares one only leaves windows longer.
+SLOTS = 1 << 32
 _RANKED_PARTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,40 +56,46 @@ def windows(docs: DataFrame) -> DataFrame:
     return rows.select("lang", "w1", second.alias("w2"), F.when(second.isNotNull() & (F.col("w3") != "\n"), F.col("w3")).alias("w3"))
 
 
-def _pair(first: str, second: str) -> Column:
-    return F.xxhash64("lang", first, second)
+def _slot(*words: str) -> Column:
+    return F.xxhash64("lang", *words).bitwiseAND(F.lit(SLOTS - 1))
 
 
-def _block(pair: Column, bits: int) -> Column:
-    """The row of the bit table that holds a pair's bit."""
-    return F.shiftrightunsigned(pair, 6).bitwiseAND(F.lit(bits // 64 - 1).cast("long"))
+def _block(slot: Column, bits: int) -> Column:
+    """The row of the bit table that holds a slot's bit."""
+    return F.shiftrightunsigned(slot, 6).bitwiseAND(F.lit(bits // 64 - 1).cast("long"))
+
+
+def _frequent(rows: DataFrame, words: tuple[str, ...], least: int, bits: int) -> DataFrame:
+    """block and mask, at most bits / 64 rows: the bits of all phrases of these columns that occur ``least`` times, and of some others."""
+    counted = rows.where(F.col(words[-1]).isNotNull()).groupBy(_slot(*words).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    often = counted.where(F.col("n") >= least).select("slot")
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    return often.groupBy(_block(F.col("slot"), bits).alias("block")).agg(F.bit_or(bit).alias("mask"))
 
 
 def frequent_pairs(rows: DataFrame, least: int, bits: int = BITS) -> DataFrame:
-    """block and mask, at most bits / 64 rows: the bits of all pairs that occur ``least`` times, and of some others."""
-    counted = rows.where("w2 is not null").groupBy(_pair("w1", "w2").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where(F.col("n") >= least).select("pair")
-    bit = F.expr("shiftleft(1L, cast(pair & 63 as int))")
-    return often.groupBy(_block(F.col("pair"), bits).alias("block")).agg(F.bit_or(bit).alias("mask"))
+    return _frequent(rows, ("w1", "w2"), least, bits)
+
+
+def _known(rows: DataFrame, table: DataFrame, words: tuple[str, ...], name: str, bits: int) -> DataFrame:
+    """The rows and whether the bit of these columns is set."""
+    own = F.broadcast(table.select(F.col("block").alias("_block"), F.col("mask").alias(name)))
+    joined = rows.withColumn("_slot", _slot(*words)).join(own, _block(F.col("_slot"), bits) == F.col("_block"), "left")
+    hit = F.expr(f"shiftrightunsigned({name}, cast(_slot & 63 as int)) & 1") == 1
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_slot", "_block")
 
 
 def cut_windows(rows: DataFrame, least: int, bits: int = BITS) -> DataFrame:
-    """The windows, each cut to the longest prefix whose pairs can all reach ``least``."""
-    table = stored(frequent_pairs(rows, least, bits), "pairs")
-
-    def known(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
-        pair = _pair(first, second)
-        own = F.broadcast(table.select(F.col("block").alias("_block"), F.col("mask").alias(name)))
-        joined = df.withColumn("_pair", pair).join(own, _block(F.col("_pair"), bits) == F.col("_block"), "left")
-        hit = F.expr(f"shiftrightunsigned({name}, cast(_pair & 63 as int)) & 1") == 1
-        return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_pair", "_block")
-
-    both = known(known(rows, "w1", "w2", "_start"), "w2", "w3", "_rest")
-    return both.select(
+    """The windows, each cut to the longest prefix that can reach ``least``."""
+    pairs = stored(frequent_pairs(rows, least, bits), "pairs")
+    started = _known(rows, pairs, ("w1", "w2"), "_start", bits)
+    both = _known(started.where("_start and w3 is not null"), pairs, ("w2", "w3"), "_rest", bits).where("_rest")
+    triples = stored(_frequent(both, ("w1", "w2", "w3"), least, bits), "triples")
+    return _known(started, triples, ("w1", "w2", "w3"), "_whole", bits).select(
         "lang",
         "w1",
         F.when(F.col("_start"), F.col("w2")).alias("w2"),
-        F.when(F.col("_start") & F.col("_rest"), F.col("w3")).alias("w3"),
+        F.when(F.col("_start") & F.col("_whole"), F.col("w3")).alias("w3"),
     )
 
 

@@ -75,6 +75,16 @@ def test_bit_table_is_bounded_and_cuts(spark, chatter):
     assert cut.where("w3 is not null").count() < rows.where("w3 is not null").count()
 
 
+def test_rare_triples_of_frequent_pairs_are_cut(spark):
+    """Such windows were most of what was shuffled; they still count towards their pair."""
+    docs = spark.createDataFrame([(1, "a b x. y b c. " * 10 + "a b c.", "en")], "doc_id long, text string, lang string")
+    cut = collocations.cut_windows(collocations.windows(docs), 10)
+    whole = {(r.w1, r.w2, r.w3): r["count"] for r in cut.where("w3 is not null").groupBy("w1", "w2", "w3").count().collect()}
+    assert whole == {("a", "b", "x"): 10, ("y", "b", "c"): 10}
+    counts = {(r.w1, r.w2): r.n for r in collocations.phrase_counts(docs, 10).where("size = 2").collect()}
+    assert counts[("a", "b")] == 11 and counts[("b", "c")] == 11
+
+
 def test_collocations_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert collocations.collocations(docs).collect() == []
